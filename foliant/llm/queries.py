@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .quality import op1_quality_rules
+from .token_store import op9_token_store
+from .top_k import OP10_SQL, op10_top_k
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op9_token_store": op9_token_store,
+    "op10_top_k": op10_top_k,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_top_k": OP10_SQL,
+}
