@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import op3_language_id
 from .mixing import op2_source_mix
 from .quality import op1_quality_rules
 from .simhash import op8_simhash
@@ -11,6 +12,7 @@ from .top_k import OP10_SQL, op10_top_k
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
+    "op3_language_id": op3_language_id,
     "op8_simhash": op8_simhash,
     "op9_token_store": op9_token_store,
     "op10_top_k": op10_top_k,
