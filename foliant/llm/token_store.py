@@ -13,24 +13,26 @@ without touching the ids.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checked_broadcast, materialise, scratch
 
-#: Distinct pieces an executor's process remembers before it starts anew.
-MEMORY = 400_000
+#: Distinct words and pieces an executor's process remembers before it starts anew.
+MEMORY = 1_500_000
 
 
 @lru_cache(2)
 def _encoder(path: str):
-    """text -> int32 array, equal to Tokenizer.encode(text, add_special_tokens=False).
+    """texts -> little-endian int32 ids of each, equal to Tokenizer.encode(text, add_special_tokens=False).
 
     Byte-level BPE cuts a text into pieces by a fixed pattern and merges inside
     each; the merges of a piece depend on nothing else. So pieces are encoded
@@ -38,8 +40,11 @@ def _encoder(path: str):
     string of an added token is encoded by the library as a whole.
     """
     import json
+    import os
 
     import regex
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -55,42 +60,43 @@ def _encoder(path: str):
         and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
     )
     cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-    known: dict[str, int] = {}
-    flat: list[int] = []
-    spans: list[tuple[int, int]] = []
-
-    def encode(text: str) -> np.ndarray:
-        if not plain or any(a in text for a in added):
-            return np.array(tok.encode(text, add_special_tokens=False).ids, dtype=np.int32)
-        nonlocal table
-        if len(known) > MEMORY:
-            known.clear(), flat.clear(), spans.clear()
-            table = None
-        pieces = cut(text)
-        new = {p for p in pieces if p not in known}
-        if new:
-            new = list(new)
-            for p, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-                known[p] = len(spans)
-                spans.append((len(flat), len(e.ids)))
-                flat.extend(e.ids)
-        at = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        if table is None or table[2] != len(spans):
-            if table is not None and len(spans) - table[2] < 2000 and len(pieces) < 2000:
-                # few additions: look the spans up one by one, renew the arrays later
-                out: list[int] = []
-                for i in at.tolist():
-                    s, n = spans[i]
-                    out += flat[s : s + n]
-                return np.array(out, dtype=np.int32)
-            table = (np.array(spans, dtype=np.int64).reshape(-1, 2), np.array(flat, dtype=np.int32), len(spans))
-        starts, counts = table[0][at, 0], table[0][at, 1]
-        ends = np.cumsum(counts)
-        total = int(ends[-1]) if len(ends) else 0
-        where = np.arange(total) + np.repeat(starts - (ends - counts), counts)
-        return table[1][where]
-
-    table = None
+    pieces: dict[str, bytes] = {}
+    words: dict[str, bytes] = {}  # by what follows a single space
+    odd = regex.compile(r" \s|\s ").search
+
+    def bytes_of(ids: list[int]) -> bytes:
+        return array("i", ids).tobytes()
+
+    def learn(new: set[str]) -> None:
+        new = [p for p in new if p not in pieces]
+        for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            pieces[p] = bytes_of(e.ids)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if len(words) + len(pieces) > MEMORY:
+            words.clear(), pieces.clear()
+        out: list[bytes] = [b""] * len(texts)
+        # a space between two other characters always starts a piece
+        split: dict[int, list[str]] = {}
+        cuts: dict[int, list[str]] = {}
+        for i, t in enumerate(texts):
+            if not plain or any(a in t for a in added):
+                out[i] = bytes_of(tok.encode(t, add_special_tokens=False).ids)
+            elif odd(t):
+                cuts[i] = cut(t)
+            elif t:
+                split[i] = t.split(" ")
+        fresh = {w: cut(" " + w) for ws in split.values() for w in ws[1:] if w not in words}
+        heads = {ws[0]: cut(ws[0]) for ws in split.values()}
+        learn({p for group in (cuts, fresh, heads) for ps in group.values() for p in ps})
+        get = pieces.__getitem__
+        words.update((w, b"".join(map(get, ps))) for w, ps in fresh.items())
+        for i, ps in cuts.items():
+            out[i] = b"".join(map(get, ps))
+        for i, ws in split.items():
+            out[i] = b"".join([*map(get, heads[ws[0]]), *map(words.__getitem__, ws[1:])])
+        return out
+
     return encode
 
 
@@ -116,24 +122,23 @@ def write_tokens(
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a hash of the row's place breaks up runs of one key only at range limits
     ranged = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, start, enc = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
-        tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
+        tail = np.array([] if end_id is None else [end_id], dtype="<i4").tobytes()
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
+            lengths = pc.binary_length(texts).to_numpy()
             lo = 0
             while lo < len(texts):  # bounded output, whatever the input batch is
-                arrays, size, hi = [], 0, lo
+                size, hi = 0, lo
                 while hi < len(texts) and size < 2_000_000:
-                    ids = np.concatenate([enc(texts[hi].as_py()), tail])
-                    arrays.append(ids)
-                    size += len(ids)
+                    size += int(lengths[hi])
                     hi += 1
+                arrays = [np.frombuffer(b + tail, dtype="<i4") for b in enc(texts.slice(lo, hi - lo).to_pylist())]
                 counts = np.array([len(a) for a in arrays], dtype=np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.record_batch(
@@ -146,7 +151,7 @@ def write_tokens(
                     ],
                     names=["key", "part", "local_start", "n_tokens", "ids"],
                 )
-                start += size
+                start += int(offsets[-1])
                 lo = hi
 
     out = ranged.mapInArrow(encode, "key long, part int, local_start long, n_tokens long, ids array<int>")
