@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .language import op3_language_id
+from .merge_dropout import op5_merge_dropout
 from .mixing import op2_source_mix
 from .quality import op1_quality_rules
 from .simhash import op8_simhash
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
     "op3_language_id": op3_language_id,
+    "op5_merge_dropout": op5_merge_dropout,
     "op8_simhash": op8_simhash,
     "op9_token_store": op9_token_store,
     "op10_top_k": op10_top_k,
