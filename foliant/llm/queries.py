@@ -9,17 +9,20 @@ from .quality import op1_quality_rules
 from .simhash import op8_simhash
 from .token_store import op9_token_store
 from .top_k import OP10_SQL, op10_top_k
+from .warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_source_mix": op2_source_mix,
     "op3_language_id": op3_language_id,
     "op5_merge_dropout": op5_merge_dropout,
+    "op7_warc": op7_warc,
     "op8_simhash": op8_simhash,
     "op9_token_store": op9_token_store,
     "op10_top_k": op10_top_k,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_warc": OP7_SQL,
     "op10_top_k": OP10_SQL,
 }
