@@ -1,5 +1,6 @@
 """Whole queries over the given tables; importing this registers them all."""
 
+from . import geometry
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "geometry"]
