@@ -1,0 +1,110 @@
+"""Critical data: identifiers, dates, amounts; formats, check digits, extraction."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+PATTERNS = {
+    "process": r"\d{7}-\d{2}\.\d{4}\.\d\.\d{2}\.\d{4}",
+    "cnpj": r"\d{2}\.\d{3}\.\d{3}/\d{4}-\d{2}",
+    "cpf": r"\d{3}\.\d{3}\.\d{3}-\d{2}",
+    "date": r"\d{2}/\d{2}/\d{4}",
+}
+CURRENCY = r"[A-Z]{0,3}\$\s?\d{1,3}(?:[.,]\d{3})*[.,]\d{2}"
+NUMBER = r"\d+(?:[.,]\d+)*"
+
+
+def _digits(t: Column) -> Column:
+    return F.regexp_replace(t, r"\D", "")
+
+
+def _mod11(d: Column, weights: list[int]) -> Column:
+    """Check digit over the first digits with the given weights."""
+    total = F.lit(0)
+    for i, w in enumerate(weights):
+        total = total + F.substring(d, i + 1, 1).cast("int") * w
+    r = total % 11
+    return F.when(r < 2, 0).otherwise(11 - r)
+
+
+def _valid(t: Column, n: int, first: list[int], second: list[int]) -> Column:
+    d = _digits(t)
+    same = d.rlike(r"^(\d)\1*$")
+    a = F.substring(d, n - 1, 1).cast("int") == _mod11(d, first)
+    b = F.substring(d, n, 1).cast("int") == _mod11(d, second)
+    return F.when((F.length(d) != n) | same, F.lit(False)).otherwise(a & b)
+
+
+def valid_cpf(t: Column) -> Column:
+    return _valid(t, 11, list(range(10, 1, -1)), list(range(11, 1, -1)))
+
+
+def valid_cnpj(t: Column) -> Column:
+    w = [5, 4, 3, 2, 9, 8, 7, 6, 5, 4, 3, 2]
+    return _valid(t, 14, w, [6, *w])
+
+
+def format_score(t: Column, kind: Column) -> Column:
+    """How well a text fits a data type, in [0, 1]."""
+    s = F.trim(t)
+    shape = lambda p: s.rlike(f"^(?:{p})$")
+    ids = lambda valid, p: F.when(valid & shape(p), 1.0).when(valid, 0.9).when(shape(p), 0.5).otherwise(0.0)
+    date = F.when(shape(PATTERNS["date"]) & F.try_to_timestamp(s, F.lit("dd/MM/yyyy")).isNotNull(), 1.0).when(shape(PATTERNS["date"]), 0.4).otherwise(0.0)
+    return (
+        F.when(kind == "cpf", ids(valid_cpf(s), PATTERNS["cpf"]))
+        .when(kind == "cnpj", ids(valid_cnpj(s), PATTERNS["cnpj"]))
+        .when(kind == "date", date)
+        .when(kind == "currency", F.when(shape(CURRENCY), 1.0).when(shape(NUMBER), 0.5).otherwise(0.0))
+        .when(kind == "number", F.when(shape(NUMBER), 1.0).otherwise(0.0))
+        .when(kind == "percent", F.when(shape(NUMBER + r"\s?%"), 1.0).when(shape(NUMBER), 0.5).otherwise(0.0))
+        .when(kind == "email", F.when(shape(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), 1.0).otherwise(0.0))
+        .when(kind == "phone", F.when(F.length(_digits(s)).between(8, 13), 1.0).otherwise(0.0))
+        .when(kind == "process", F.when(shape(PATTERNS["process"]), 1.0).otherwise(0.0))
+        .when(kind == "postcode", F.when(shape(r"\d{5}-?\d{3}"), 1.0).otherwise(0.0))
+        .otherwise(0.0)
+    )
+
+
+LABELS = [("cnpj", r"\bcnpj\b"), ("cpf", r"\bcpf\b"), ("process", r"\bprocess[oe]?\b"), ("date", r"\b(?:data|date)\b"), ("currency", r"\b(?:valor|total|amount)\b"), ("email", r"\be-?mail\b"), ("phone", r"\b(?:tel|fone|phone)\b"), ("postcode", r"\b(?:cep|zip)\b")]
+
+
+def context_type(label: Column) -> Column:
+    """The first data type, in the order of precedence, that a label names."""
+    out = F.lit(None).cast("string")
+    for kind, p in reversed(LABELS):
+        out = F.when(F.lower(label).rlike(p), kind).otherwise(out)
+    return out
+
+
+def structural_values(text: str) -> list[str]:
+    """Typed values in order of priority; a span taken by one is closed to the rest."""
+    taken: list[tuple[int, int]] = []
+    out = []
+    for kind, p in PATTERNS.items():
+        for m in re.finditer(rf"(?<!\d){p}(?!\d)", text):
+            if all(m.end() <= a or m.start() >= b for a, b in taken):
+                taken.append(m.span())
+                out.append(f"{kind}:{re.sub(r'[^0-9]', '', m.group())}")
+    return sorted(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def critical_values(s: pd.Series) -> pd.Series:
+    return s.map(structural_values, na_action="ignore")
+
+
+def signed_amounts(t: Column) -> Column:
+    """Canonical signed money and percent values: array<string>."""
+    found = F.regexp_extract_all(t, F.lit(r"(?:-\s?)?(?:R?\$\s?\d[\d.]*(?:,\d{2})?|\d[\d.]*(?:,\d+)?\s?%)"), 0)
+
+    def one(v: Column) -> Column:
+        number = F.replace(F.replace(F.regexp_replace(v, r"[^\d,.]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        sign = F.when(v.startswith("-"), "-").otherwise("")
+        return F.concat(sign, number.try_cast("decimal(20,2)").cast("string"), F.when(v.endswith("%"), "%").otherwise(""))
+
+    return F.transform(found, one)

@@ -1,6 +1,6 @@
 """Whole queries over the given tables; importing this registers them all."""
 
-from . import geometry
+from . import geometry, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "geometry"]
+__all__ = ["ORACLES", "QUERIES", "geometry", "text"]
