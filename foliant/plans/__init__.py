@@ -1,6 +1,6 @@
 """Whole queries over the given tables; importing this registers them all."""
 
-from . import geometry, text
+from . import geometry, metrics, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "geometry", "text"]
+__all__ = ["ORACLES", "QUERIES", "geometry", "metrics", "text"]
