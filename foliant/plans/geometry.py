@@ -11,7 +11,7 @@ from ..operators import spatial as S
 from .base import AREA, BOXES, SHARED, boxes
 from .registry import query
 
-PAGE = G.lit_box(0, 0, 400, 60)
+PAGE = (0, 0, 400, 60)
 MEASURES = """
   SELECT pg, bid, x1 - x0 AS width, y1 - y0 AS height, greatest(0, x1 - x0) * greatest(0, y1 - y0) AS area,
          (x0 + x1) / 2 AS cx, (y0 + y1) / 2 AS cy, (x1 + 3) - (x0 - 3) AS wider
@@ -314,7 +314,7 @@ def occluded(spark: SparkSession, sf_dir: str) -> DataFrame:
       count(*) FILTER (WHERE NOT ((x0 + x1) / 2 <= 400 AND (y0 + y1) / 2 <= 60)) AS dropped FROM b GROUP BY pg""",
 )
 def inside_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = G.contains_center(PAGE, G.box())
+    ok = G.contains_center(G.lit_box(*PAGE), G.box())
     return boxes(spark, sf_dir).groupBy("pg").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
