@@ -46,7 +46,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix of sources takes."""
-    taken = materialise(mix(docs).select(F.col("doc_id").alias("_id"), "h", "copies").where("copies > 0").distinct(), "taken")
+    # rows of equal id and text are drawn alike
+    taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), "h").agg(F.max("copies").alias("copies"))
+    taken = materialise(taken.where("copies > 0"), "taken")
     keyed = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text"))
     met = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h")))
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)

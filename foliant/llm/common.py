@@ -47,3 +47,10 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shield(df: DataFrame, used: set[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Give every column but the used ones a name no operator has, so that extra
+    columns clash with nothing; with the new name of each."""
+    names = {c: f"__extra{i}" for i, c in enumerate(df.columns) if c not in used}
+    return df.withColumnsRenamed(names), names

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shield
 
 MIN_WORDS = 25
 FINGERPRINTS = "doc long, key long, anchor long, windows array<struct<start:int,end:int,hash:string>>"
@@ -136,7 +136,8 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     columns named n_lines or n_removed are replaced."""
     spans = materialise(repeated_spans(docs, min_words, id_col, text), "spans")
     spans = spans.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    joined = docs.drop("n_lines", "n_removed").withColumns({"_d": _doc(id_col), "_k": _key(text)})
+    shielded, extra = shield(docs, {id_col, text})
+    joined = shielded.withColumns({"_d": _doc(id_col), "_k": _key(text)})
     joined = joined.join(spans, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
     # arrays are built once per row: see the note on projections in quality.signals
     here = lambda value: F.when(F.monotonically_increasing_id() >= 0, value)
@@ -156,7 +157,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
         )
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[F.col("_kept").alias(text) if c == text else F.col(c) for c in names], "n_lines", "n_removed")
+    return out.select(*[F.col("_kept").alias(text) if c == text else F.col(extra.get(c, c)).alias(c) for c in names], "n_lines", "n_removed")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise
+from .common import checked_broadcast, materialise, shield
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -218,11 +218,15 @@ def apply_rules(
 
     kept is false if base_failed or if any certified rule of the row's
     stratum rejects it. ``keep`` names the input columns that the result needs
-    (all, if not given; the stratum and doc_id must be among them). A null stratum is a stratum of its own. Repeated rows
-    get equal verdicts; an empty table or no labels give no learned rule.
+    (all, if not given; the stratum and doc_id must be among them). A null
+    stratum is a stratum of its own. Repeated rows get equal verdicts; an empty
+    table or no labels give no learned rule. Input columns named like the added
+    ones are replaced.
     """
+    shielded, extra = shield(docs, {"doc_id", "text", stratum})
+    names = [c for c in (keep or docs.columns) if c not in (*ADDED, "kept")]
     # one pass over the texts; labels meet its output, not the texts
-    scored = materialise(signals(docs).select(*(keep or docs.columns), *(c for c in ADDED if c not in (keep or docs.columns))), "signals")
+    scored = materialise(signals(shielded).select(*[extra.get(c, c) for c in names], *ADDED), "signals")
     learned = materialise(cutoffs(scored, labels, stratum, alpha, delta, ladders), "cutoffs")
     keyed = scored.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
     rules = learned.withColumn(
@@ -232,11 +236,9 @@ def apply_rules(
     any_rule = rejected[0]
     for r in rejected[1:]:
         any_rule = any_rule | r
-    return (
-        keyed.join(checked_broadcast(rules), "_s", "left")
-        .withColumn("kept", ~F.col("base_failed") & ~any_rule)
-        .drop("_s", *[f"cut_{s}" for s in ladders])
-    )
+    joined = keyed.join(checked_broadcast(rules), "_s", "left")
+    kept = (~F.col("base_failed") & ~any_rule).alias("kept")
+    return joined.select(*[F.col(extra.get(c, c)).alias(c) for c in names], *ADDED, kept)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
