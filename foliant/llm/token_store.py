@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import checked_broadcast, materialise, scratch
 
-#: Distinct words and pieces an executor's process remembers before it starts anew.
-MEMORY = 1_500_000
+#: Distinct words an executor's process remembers in each of two generations.
+MEMORY = 700_000
 
 
 @lru_cache(2)
@@ -41,6 +41,7 @@ def _encoder(path: str):
     """
     import json
     import os
+    from itertools import pairwise
 
     import regex
 
@@ -61,40 +62,90 @@ def _encoder(path: str):
     )
     cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
     pieces: dict[str, bytes] = {}
-    words: dict[str, bytes] = {}  # by what follows a single space
-    odd = regex.compile(r" \s|\s ").search
+    #: by what follows a single space; None where white space is next to it
+    words: dict[str, bytes | None] = {}
+    older = words  # the generation before: its words move up when met again
 
-    def bytes_of(ids: list[int]) -> bytes:
-        return array("i", ids).tobytes()
+    lead = regex.compile(r"(\p{L}+)(.*)", regex.DOTALL).fullmatch
+    opens = np.zeros(tok.get_vocab_size(with_added_tokens=True), dtype=bool)
+    opens[[i for t, i in tok.get_vocab(with_added_tokens=True).items() if t.startswith("Ġ")]] = True
 
-    def learn(new: set[str]) -> None:
-        new = [p for p in new if p not in pieces]
-        for p, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            pieces[p] = bytes_of(e.ids)
+    def learn(new: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
+
+    def learn_letters(new: list[str]) -> None:
+        """Words of letters go to the library 128 at a time, a space before each:
+        the tokens that open with the space tell where the next one starts."""
+        for lo in range(0, len(new), 128):
+            part = new[lo : lo + 128]
+            ids = np.array(tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<i4")
+            raw = ids.tobytes()
+            ends = [*(4 * np.flatnonzero(opens[ids])).tolist(), len(raw)]
+            words.update(zip(part, (raw[a:z] for a, z in pairwise(ends)), strict=True))
+
+    def by_pieces(texts: list[str]) -> list[bytes]:
+        parts = [cut(t) for t in texts]
+        new = [p for p in set().union(*parts) if p not in pieces]
+        pieces.update(zip(new, learn(new), strict=True))
+        get = pieces.__getitem__
+        return [b"".join(map(get, ps)) for ps in parts]
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(words) + len(pieces) > MEMORY:
-            words.clear(), pieces.clear()
+        nonlocal words, older
+        if len(words) > MEMORY:
+            words, older = {}, words
+        if len(pieces) > MEMORY:
+            pieces.clear()
         out: list[bytes] = [b""] * len(texts)
         # a space between two other characters always starts a piece
         split: dict[int, list[str]] = {}
-        cuts: dict[int, list[str]] = {}
+        heads: dict[int, str] = {}
+        odd: list[int] = []
+        met: set[str] = set()
         for i, t in enumerate(texts):
             if not plain or any(a in t for a in added):
-                out[i] = bytes_of(tok.encode(t, add_special_tokens=False).ids)
-            elif odd(t):
-                cuts[i] = cut(t)
+                out[i] = array("i", tok.encode(t, add_special_tokens=False).ids).tobytes()
             elif t:
-                split[i] = t.split(" ")
-        fresh = {w: cut(" " + w) for ws in split.values() for w in ws[1:] if w not in words}
-        heads = {ws[0]: cut(ws[0]) for ws in split.values()}
-        learn({p for group in (cuts, fresh, heads) for ps in group.values() for p in ps})
-        get = pieces.__getitem__
-        words.update((w, b"".join(map(get, ps))) for w, ps in fresh.items())
-        for i, ps in cuts.items():
-            out[i] = b"".join(map(get, ps))
+                ws = t.split(" ")
+                heads[i] = ws.pop(0)
+                if ws and heads[i][-1:].isspace():
+                    odd.append(i)
+                else:
+                    split[i] = ws
+                    met.update(ws)
+        fresh = met.difference(words)
+        if older is not words:
+            again = fresh & older.keys()
+            words.update((w, older[w]) for w in again)
+            fresh -= again
+        letters = {w for w in fresh if w.isalpha()}  # one piece each
+        tails: dict[str, tuple[str, str]] = {}  # letters, then what no letter can join
+        rest = []
+        for w in fresh - letters:
+            if not w or w[0].isspace() or w[-1].isspace():
+                words[w] = None
+            elif m := lead(w):
+                tails[w] = m.groups()
+            else:
+                rest.append(w)
+        letters.update(a for a, _ in tails.values() if a not in words)
+        learn_letters(list(letters))
+        ends = list({z for _, z in tails.values()})
+        by_end = dict(zip(ends, by_pieces(ends), strict=True))
+        words.update((w, words[a] + by_end[z]) for w, (a, z) in tails.items())
+        words.update(zip(rest, by_pieces([" " + w for w in rest]), strict=True))
+        get = words.__getitem__
+        whole = []
         for i, ws in split.items():
-            out[i] = b"".join([*map(get, heads[ws[0]]), *map(words.__getitem__, ws[1:])])
+            try:
+                out[i] = b"".join(map(get, ws))
+                whole.append(i)
+            except TypeError:  # None: pieces of this text don't end at every space
+                odd.append(i)
+        for i, head in zip(whole, by_pieces([heads[i] for i in whole]), strict=True):
+            out[i] = head + out[i]
+        for i, ids in zip(odd, by_pieces([texts[i] for i in odd]), strict=True):
+            out[i] = ids
         return out
 
     return encode
