@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checked_broadcast, materialise, scratch
+from foliant.llm.common import materialise, scratch, shuffled
 from foliant.llm.line_dedup import line_dedup
 from foliant.llm.merge_dropout import encode
 from foliant.llm.mixing import mix
@@ -40,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     document of the smallest id stays."""
     groups = near_duplicates(docs)
     stays = materialise(groups.where("doc_id = component_id").select("doc_id").distinct(), "stays")
-    kept = docs.select(*COLUMNS).join(checked_broadcast(stays), "doc_id", "left_semi")
+    kept = docs.select(*COLUMNS).join(shuffled(stays), "doc_id", "left_semi")
     return kept.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL"))
 
 
@@ -50,7 +50,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), "h").agg(F.max("copies").alias("copies"))
     taken = materialise(taken.where("copies > 0"), "taken")
     keyed = docs.select(*COLUMNS).withColumn("_h", F.xxhash64("text"))
-    met = keyed.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h")))
+    met = keyed.join(shuffled(taken), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("h")))
     return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 

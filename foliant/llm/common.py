@@ -45,6 +45,13 @@ def checked_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Hint a sort-merge join with a table that has rows for documents: it grows
+    with the corpus, so the plan is the same at every size and never broadcasts
+    it; adaptive execution splits hot keys of such a join."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

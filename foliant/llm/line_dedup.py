@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shield
+from .common import materialise, shield, shuffled
 
 MIN_WORDS = 25
 FINGERPRINTS = "doc long, key long, anchor long, windows array<struct<start:int,end:int,hash:string>>"
@@ -138,7 +138,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     spans = spans.select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
     shielded, extra = shield(docs, {id_col, text})
     joined = shielded.withColumns({"_d": _doc(id_col), "_k": _key(text)})
-    joined = joined.join(spans, (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
+    joined = joined.join(shuffled(spans), (F.col("_d") == F.col("_doc")) & (F.col("_k") == F.col("_key")), "left")
     # arrays are built once per row: see the note on projections in quality.signals
     here = lambda value: F.when(F.monotonically_increasing_id() >= 0, value)
     marked = F.array_distinct(F.flatten(F.transform("_spans", lambda s: F.sequence(s.start, s.end))))
