@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 VARIANTS = 4
-#: Words an executor's process remembers for each variant before starting anew.
+#: Words an executor's process remembers for each variant in each of two generations.
 MEMORY = 200_000
 #: Longer words are cut each time they occur.
 LONGEST = 64
@@ -39,13 +40,15 @@ NEVER = 1 << 30
 
 
 class Memo(dict):
-    """word -> ids as bytes, cut when first asked for."""
+    """word -> ids as bytes, cut when first asked for; ``older`` is the
+    generation before, whose words move up when met again."""
 
     def __init__(self, model: Model, variant: int) -> None:
-        self.model, self.variant = model, variant
+        self.model, self.variant, self.older = model, variant, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.model.cut(word, self.variant), dtype="<i4").tobytes()
+        if (ids := self.older.get(word)) is None:
+            ids = array("i", self.model.cut(word, self.variant)).tobytes()
         if len(word) <= LONGEST:
             self[word] = ids
         return ids
@@ -182,6 +185,7 @@ class Model:
             out = b"".join([memos[i][w] for i, w in zip(v.tolist(), words, strict=True)])
         if sum(map(len, self.memos)) > MEMORY * self.variants:
             for m in self.memos:
+                m.older = dict(m)
                 m.clear()
         return np.frombuffer(out, dtype="<i4")
 
