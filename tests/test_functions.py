@@ -49,7 +49,7 @@ def test_unicode(spark):
     rows = df.select(
         T.normalize_text(F.col("t")).alias("n"), T.normalize_reading_text(F.col("t")).alias("r"), T.nfkd_letters("t").alias("k"), T.accented_words(T.nfc("t")).alias("a"), T.casefold("t").alias("c")
     ).collect()
-    assert rows[0].n == "éﬁ\nx" and rows[0].r == "éfi\nx" and rows[0].k == "efix" and rows[0].a == ["éﬁ".casefold()]
+    assert rows[0].n == "éﬁ\nx" and rows[0].r == "éfi\nx" and rows[0].k == "efix" and rows[0].a == ["\u00e9fi"]
     assert all(v is None for v in rows[1])
 
 
