@@ -2,73 +2,100 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def levenshtein_seq(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences; rows by numpy, so memory is linear."""
-    if a == b:
-        return 0
+def _masks(b: list) -> dict:
+    """Symbol -> its places in b as bits."""
+    places: dict = {}
+    for j, w in enumerate(b):
+        places.setdefault(w, []).append(j)
+    out = {}
+    for w, js in places.items():
+        bits = bytearray(len(b) // 8 + 1)
+        for j in js:
+            bits[j >> 3] |= 1 << (j & 7)
+        out[w] = int.from_bytes(bits, "little")
+    return out
+
+
+def _row(eq: int, vp: int, vn: int, full: int) -> tuple[int, int, int, int, int]:
+    """The next row of the edit table as bits (Hyyrö): where the diagonal does
+    not grow, where the row above grows or falls, and the row's own steps."""
+    d0 = (((eq & vp) + vp) ^ vp) | eq | vn
+    hp = vn | (full & ~(d0 | vp))
+    hn = vp & d0
+    up, down = hp << 1 | 1, hn << 1
+    return d0 & full, hp, hn, (down | ~(d0 | up)) & full, up & d0 & full
+
+
+def levenshtein_seq(a: Sequence, b: Sequence) -> int:
+    """Levenshtein distance of two sequences by bit-parallel rows; memory is linear."""
+    lo, n = 0, min(len(a), len(b))
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if not a or not b:
         return max(len(a), len(b))
-    ids: dict = {}
-    x = np.array([ids.setdefault(w, len(ids)) for w in a])
-    y = np.array([ids.setdefault(w, len(ids)) for w in b])
-    if len(x) < len(y):
-        x, y = y, x
-    n = np.arange(len(y) + 1)
-    row = n.copy()
-    for i, w in enumerate(x.tolist(), 1):
-        new = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        # insertions run along the row: a running minimum of value minus place
-        row = np.concatenate([[i], new])
-        row = np.minimum.accumulate(row - n) + n
-    return int(row[-1])
-
-
-def edit_ops(a: list, b: list, limit: int = 3000) -> tuple[int, int, int]:
+    masks, full, last = _masks(b), (1 << len(b)) - 1, len(b) - 1
+    vp, vn, d = full, 0, len(b)
+    for w in a:
+        _, hp, hn, vp, vn = _row(masks.get(w, 0), vp, vn, full)
+        d += (hp >> last & 1) - (hn >> last & 1)
+    return d
+
+
+def edit_ops(a: list, b: list, limit: int | None = None) -> tuple[int, int, int]:
     """Substitutions, deletions and insertions that turn a into b.
 
     The way back prefers a match, then a substitution, a deletion, an insertion.
     With the hypothesis as a, a deletion is one of its words without a
-    counterpart and an insertion is a missing reference word."""
+    counterpart and an insertion is a missing reference word. Rows are kept as
+    bits for one stretch at a time and made again from its start."""
     a, b = a[:limit], b[:limit]
-    ids: dict = {}
-    x = np.array([ids.setdefault(w, len(ids)) for w in a], dtype=np.int64)
-    y = np.array([ids.setdefault(w, len(ids)) for w in b], dtype=np.int64)
-    n = np.arange(len(y) + 1)
-    table = np.empty((len(x) + 1, len(y) + 1), dtype=np.int16)
-    table[0] = n
-    for i in range(1, len(x) + 1):
-        new = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (y != x[i - 1]))
-        row = np.concatenate([[i], new])
-        table[i] = np.minimum.accumulate(row - n) + n
-    i, j, s, d, ins = len(x), len(y), 0, 0, 0
-    while i or j:
-        if i and j and x[i - 1] == y[j - 1] and table[i, j] == table[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-        elif i and j and table[i, j] == table[i - 1, j - 1] + 1:
-            i, j, s = i - 1, j - 1, s + 1
-        elif i and table[i, j] == table[i - 1, j] + 1:
-            i, d = i - 1, d + 1
-        else:
-            j, ins = j - 1, ins + 1
-    return s, d, ins
-
-
-def lcs_length(a: list, b: list, limit: int = 1000) -> int:
+    masks, full = _masks(b), (1 << len(b)) - 1
+    stretch = max(256, math.isqrt(len(a)))
+    starts, vp, vn = [], full, 0
+    for i, w in enumerate(a):
+        if i % stretch == 0:
+            starts.append((vp, vn))
+        _, _, _, vp, vn = _row(masks.get(w, 0), vp, vn, full)
+    i, j, s, d, ins = len(a), len(b), 0, 0, 0
+    while i and j:
+        first = (i - 1) // stretch * stretch
+        vp, vn = starts[first // stretch]
+        rows = []
+        for w in a[first:i]:
+            d0, hp, _, vp, vn = _row(masks.get(w, 0), vp, vn, full)
+            rows.append((d0, hp))
+        while i > first and j:
+            d0, hp = rows[i - 1 - first]
+            if a[i - 1] == b[j - 1]:
+                i, j = i - 1, j - 1
+            elif not d0 >> (j - 1) & 1:
+                i, j, s = i - 1, j - 1, s + 1
+            elif hp >> (j - 1) & 1:
+                i, d = i - 1, d + 1
+            else:
+                j, ins = j - 1, ins + 1
+    return s, d + i, ins + j
+
+
+def lcs_length(a: list, b: list, limit: int | None = None) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     a, b = a[:limit], b[:limit]
-    masks: dict = {}
-    for i, w in enumerate(a):
-        masks[w] = masks.get(w, 0) | 1 << i
+    masks = _masks(a)
     full = (1 << len(a)) - 1
     v = full
     for w in b:
@@ -77,6 +104,12 @@ def lcs_length(a: list, b: list, limit: int = 1000) -> int:
     return len(a) - v.bit_count()
 
 
+@F.pandas_udf(T.LongType())
+def char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Levenshtein distance over characters of whole texts."""
+    return pd.Series([None if x is None or y is None else levenshtein_seq(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
 @F.pandas_udf(T.LongType())
 def word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """Levenshtein distance over words separated by white space."""

@@ -32,11 +32,11 @@ def hyp_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Micro-averaged character and word error rates and duplicate-line rate of a
     garbled reading, per language: counters per page, then sums."""
-    d = docs(spark, sf_dir).select("lang", F.col("text"), F.substring(T.squeeze_lines(T.nfc(F.col("text"))), 1, 400).alias("ref"))
+    d = docs(spark, sf_dir).select("lang", F.col("text"), T.squeeze_lines(T.nfc(F.col("text"))).alias("ref"))
     d = d.withColumn("hyp", F.replace("ref", F.lit("th"), F.lit("d")))
     words = F.size(F.split(F.trim("ref"), r"\s+"))
     counters = d.select(
-        "lang", F.levenshtein("hyp", "ref").alias("ce"), F.length("ref").alias("cl"),
+        "lang", D.char_distance("hyp", "ref").alias("ce"), F.length("ref").alias("cl"),
         D.word_distance("hyp", "ref").alias("we"), words.alias("wl"), T.duplicate_line_ratio(F.col("text")).alias("dup"))
     out = counters.groupBy("lang").agg(*[F.sum(c).alias(c) for c in ("ce", "cl", "we", "wl")], F.avg("dup").alias("duplicate_lines"), F.count(F.lit(1)).alias("pages"))
     return out.select("lang", "pages", M.ratio(F.col("ce"), F.col("cl")).alias("cer"), M.ratio(F.col("we"), F.col("wl")).alias("wer"), "duplicate_lines")

@@ -288,6 +288,12 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", "lang", F.substring(plain, 1, 300).alias("ref"), F.substring(F.replace(plain, F.lit("th"), F.lit("d")), 1, 280).alias("hyp"))
 
 
+def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reference and a garbled reading of each whole document, in ASCII."""
+    plain = F.regexp_replace("text", r"[^ -~]", "")
+    return docs(spark, sf_dir).select("doc_id", "lang", plain.alias("ref"), F.replace(plain, F.lit("th"), F.lit("d")).alias("hyp"))
+
+
 @query(
     "e01_e07_character_error",
     f"WITH {PAIRS} SELECT doc_id, levenshtein(hyp, ref) AS edits, CASE WHEN length(ref) = 0 THEN 0 ELSE levenshtein(hyp, ref) / CAST(length(ref) AS DOUBLE) END AS cer FROM p",
@@ -300,17 +306,17 @@ def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e02_word_operations", None)
 def e02(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the reading first: deletions are its extra words, insertions missing ones."""
-    return pairs(spark, sf_dir).withColumn("o", D.word_ops("hyp", "ref")).select("doc_id", "o.*", D.word_distance("hyp", "ref").alias("distance"))
+    return whole_pairs(spark, sf_dir).withColumn("o", D.word_ops("hyp", "ref")).select("doc_id", "o.*", D.word_distance("hyp", "ref").alias("distance"))
 
 
 @query("e03_common_subsequence", None)
 def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("doc_id", D.lcs(F.split("hyp", " "), F.split("ref", " ")).alias("lcs"))
+    return whole_pairs(spark, sf_dir).select("doc_id", D.lcs(F.split("hyp", " "), F.split("ref", " ")).alias("lcs"))
 
 
 @query("e04_pairwise_similarity", None)
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).withColumn("m", D.pairwise("ref", "hyp")).select("doc_id", "m.*")
+    return whole_pairs(spark, sf_dir).withColumn("m", D.pairwise("ref", "hyp")).select("doc_id", "m.*")
 
 
 @query(

@@ -89,3 +89,28 @@ def test_scans_read_only_what_they_need(spark, sf):
     assert "ReadSchema: struct<lang:string,n_chars:bigint>" in plan
     plan = plans.QUERIES["a31_pareto_frontier"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_distances_of_long_sequences():
+    """Beyond every former limit, and over several stretches of the way back."""
+    rng = random.Random(4)
+    for n in (5, 40, 700):
+        a, b = ([rng.choice("abcdef") for _ in range(n + rng.randrange(9))] for _ in range(2))
+        d = slow_distance(a, b)
+        s, dele, ins = D.edit_ops(a, b)
+        assert D.levenshtein_seq(a, b) == D.levenshtein_seq("".join(a), "".join(b)) == s + dele + ins == d
+        assert len(a) - dele + ins == len(b)
+    a = [f"w{i}" for i in range(5000)]
+    assert D.edit_ops(a, [*a[:4500], "x", *a[4501:], "y"]) == (1, 0, 1)
+    assert D.lcs_length(a, a[1:]) == 4999
+
+
+def test_queries_read_whole_texts(spark, tmp_path):
+    from foliant import plans
+
+    long = " ".join(f"w{i}" for i in range(400))
+    spark.createDataFrame([(1, long + " the end", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    q = {n: plans.QUERIES[n](spark, str(tmp_path)).first() for n in ("e02_word_operations", "e03_common_subsequence", "e04_pairwise_similarity", "quality_by_language")}
+    assert (q["e02_word_operations"].substitutions, q["e02_word_operations"].distance, q["e03_common_subsequence"].lcs) == (1, 1, 401)
+    assert q["e04_pairwise_similarity"].recall == round(401 / 402, 6)
+    assert q["quality_by_language"].cer == 2 / (len(long) + 8) and q["quality_by_language"].wer == 1 / 402
