@@ -16,6 +16,10 @@
    A block of more than ``tile`` fingerprints is compared in pairs of tiles.
 4. Components. A tile leaves a spanning forest of its links; forests are joined
    by large-star and small-star rounds over distributed tables.
+
+For similar texts the radius only proposes: texts are met by their sets of
+shingles, a proposed pair of a tile is a link only if the exact Jaccard
+similarity of its two sets is high enough, and forests grow from such links.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, shuffled
 
 SEED = 42
 TILE = 8_192
@@ -140,6 +144,43 @@ def forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple[
     return links
 
 
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Is the Jaccard similarity of two sorted sets at least ``similarity``?
+    Two empty sets are equal."""
+    small, large = sorted((len(a), len(b)))
+    if small < similarity * large:
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common >= similarity * (small + large - common)
+
+
+def verified_forest(left: list[tuple], right: list[tuple] | None, radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links between (fingerprint, set's number, set) of a tile, or between two
+    tiles: pairs within the radius whose sets are similar, as a spanning forest.
+    Only pairs not yet connected by verified links are looked at."""
+    nodes = left if right is None else left + right
+    parent = list(range(len(nodes)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    planes = Planes([n[0] for n in (left if right is None else right)])
+    shift, out = 0 if right is None else len(left), []
+    for i, (fp, number, mine) in enumerate(left):
+        if right is None and i + 1 == len(left):
+            break
+        for j in planes.within(fp, radius, i + 1 if right is None else 0):
+            a, b = root(i), root(shift + j)
+            if a != b and similar(mine, nodes[shift + j][2], similarity):
+                parent[max(a, b)] = min(a, b)
+                out.append((number, nodes[shift + j][1]))
+    return out
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -241,6 +282,92 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
+def shingle_sets(docs: DataFrame, shingle: int, bands: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, fp, the hash th of the text, and of the set of its shingles: its
+    number, its own fingerprint and its min-hash pairs (number, set_fp, keys)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2_000):
+                part = b.slice(lo, 2_000)
+                fps, numbers, set_fps, keys = [], [], [], []
+                for t in part.column(1):
+                    h = shingle_hashes(t.as_py(), shingle)
+                    u = np.unique(h)
+                    fps.append(fingerprint(h))
+                    set_fps.append(fps[-1] if len(u) == len(h) else fingerprint(u))
+                    numbers.append(xxhash.xxh64_intdigest(u.astype("<u8").tobytes(), SEED))
+                    keys.append(min_pairs(u, bands).view(np.int64))
+                long = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
+                yield pa.record_batch(
+                    [part.column(0), part.column(2), long(fps), long(numbers), long(set_fps), pa.array(keys, pa.list_(pa.int64()))],
+                    names=["doc_id", "th", "fp", "number", "set_fp", "keys"],
+                )
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn(
+        "th", F.xxhash64("text")
+    ).mapInArrow(run, "doc_id long, th long, fp long, number long, set_fp long, keys array<long>")
+
+
+def verified_links(
+    prints: DataFrame, texts: DataFrame, shingle: int, radius: int, similarity: float, tile: int = TILE
+) -> DataFrame:
+    """Links (a, b) between numbers of sets in a common block whose fingerprints
+    are within the radius and whose Jaccard similarity is high enough.
+    ``texts`` has th and text; only texts that meet another are read again."""
+    sets = prints.groupBy("number").agg(F.min("th").alias("th"), F.min("set_fp").alias("set_fp"), F.first("keys").alias("keys"))
+    blocks = materialise(sets.select("number", "th", "set_fp", F.explode("keys").alias("block")), "blocks")
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sizes = materialise(sizes.select("block", F.when(F.col("n") > tile, F.ceil(F.col("n") / F.lit(tile / 2))).otherwise(1).cast("int").alias("tiles")), "sizes")
+    met = materialise(blocks.join(shuffled(sizes), "block"), "met")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1_000):
+                part = b.slice(lo, 1_000)
+                found = [np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in part.column(1)]
+                yield pa.record_batch([part.column(0), pa.array(found, pa.binary())], names=["th", "hashes"])
+
+    again = materialise(texts.join(shuffled(met.select("th").distinct()), "th", "left_semi").dropDuplicates(["th"]).mapInArrow(cut, "th long, hashes binary"), "sets")
+    dealt = (
+        met.join(shuffled(again), "th")
+        .withColumn("mine", F.pmod(F.xxhash64("number"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select("block", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_fp", "number", "hashes")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, right, found = None, [], [], []
+
+        def close() -> None:
+            nonlocal left, right
+            if now is not None and now[1] == now[2] and len(left) > 1:
+                found.extend(verified_forest(left, None, radius, similarity))
+            elif left and right:
+                found.extend(verified_forest(left, right, radius, similarity))
+            left, right = [], []
+
+        def flush() -> pa.RecordBatch:
+            sides = list(zip(*found, strict=True)) if found else [[], []]
+            found.clear()
+            return pa.record_batch([pa.array(x, pa.int64()) for x in sides], names=["a", "b"])
+
+        for b in batches:
+            for block, i, j, mine, fp, number, hashes in zip(*[b.column(k).to_pylist() for k in range(7)], strict=True):
+                if (block, i, j) != now:
+                    close()
+                    now = (block, i, j)
+                (left if mine == i else right).append((fp & (2**64 - 1), number, np.frombuffer(hashes, dtype="<u8")))
+            if len(found) > 50_000:
+                yield flush()
+        close()
+        yield flush()
+
+    n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.repartition(n, "block", "i", "j").sortWithinPartitions("block", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of the links with the least node of its component."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -267,31 +394,40 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 5,
-    radius: int = 14,
+    radius: int = 24,
     bands: int = 10,
     id_col: str = "doc_id",
     text: str = "text",
     tile: int = TILE,
+    similarity: float = 0.8,
 ) -> DataFrame:
     """doc_id, fp (16 hex digits), component_id, one row per row of ``docs``.
 
     component_id is the smallest doc_id reachable over links. With the defaults
-    (five words, texts of a similarity of 0.8 or more) links are fingerprints
-    within 14 bits in a common block of min-hash pairs; with bands=0 they are
-    all pairs within the radius. A null text is empty: fingerprint zero, linked
-    like any other. Null ids keep null rows; a component of null ids only has a
-    null id. Repeated rows get the same component. Extra columns are ignored.
+    links are pairs of texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more; proposed are pairs within 24 bits in a common
+    block of min-hash pairs. With bands=0 links are all pairs of fingerprints
+    within the radius. A null text is empty: fingerprint zero, linked like any
+    other. Null ids keep null rows; a component of null ids only has a null id.
+    Repeated rows get the same component. Extra columns are ignored.
     """
-    prints = materialise(fingerprints(docs, shingle, bands, id_col, text), "prints")
-    comp = components(links(prints, radius, tile))
-    least = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "least")
-    rooted = least.join(comp, least.fp == comp.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
+    if bands:
+        node = "number"
+        prints = materialise(shingle_sets(docs, shingle, bands, id_col, text), "prints")
+        texts = docs.select(F.col(text).cast("string").alias("text")).select(F.xxhash64("text").alias("th"), "text")
+        comp = components(verified_links(prints, texts, shingle, radius, similarity, tile))
+    else:
+        node = "fp"
+        prints = materialise(fingerprints(docs, shingle, bands, id_col, text), "prints")
+        comp = components(links(prints, radius, tile))
+    least = materialise(prints.groupBy(node).agg(F.min("doc_id").alias("least")), "least")
+    rooted = least.join(comp, least[node] == comp.node, "left").select(
+        node, "least", F.coalesce("root", node).alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = materialise(rooted.join(ids, "root").select("fp", "component_id"), "components")
+    by_node = materialise(rooted.join(ids, "root").select(node, "component_id"), "components")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return prints.join(by_print, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return prints.join(by_node, node).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

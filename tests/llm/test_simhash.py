@@ -116,3 +116,34 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(by[1]) == 1
     assert {c for i in (3, 4, 6) for _, c in by[i]} == {3}  # no words: fingerprint zero, linked
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_links_are_verified(spark):
+    """Against the exact similarity of all pairs; texts of one template at 0.6 to 0.9."""
+    rng = random.Random(3)
+    sets, rows = {}, []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(150)]
+        for c in range(12):
+            words = list(base)
+            for at in rng.sample(range(150), c % 6):  # up to five shingles each
+                words[at] = f"x{c}y{at}"
+            n = 12 * g + c
+            rows.append((n, " ".join(words)))
+            sets[n] = {tuple(words[i : i + 5]) for i in range(146)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    for tile in (8_192, 4):
+        got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
+    assert len({find(i) for i in sets}) > 12  # some of a template stay apart
