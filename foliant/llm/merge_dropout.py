@@ -2,21 +2,22 @@
 
 An agenda holds the candidate merges of neighbouring symbols, best score first,
 leftmost first among equals. A candidate taken from it is skipped for good when
-its keyed hash, over (seed, variant, word, number of the candidate), falls below
-the dropout rate; else it merges and its new neighbours enter the agenda. The
-variant of a word's occurrence is a keyed hash of the row and its place, so
-occurrences of one word are cut in different ways, and every rerun agrees.
-Symbols that are no piece fall back to bytes. With a rate of 0 the result is
-that of the model.
+its keyed hash, over (seed, row, place of the word, number of the candidate),
+falls below the dropout rate; else it merges and its new neighbours enter the
+agenda. So every occurrence of a word is cut by skips of its own, and every
+rerun agrees. Symbols that are no piece fall back to bytes. With a rate of 0
+the result is that of the model.
 
 Merges never cross from a letter to a following word mark, as no piece has a
 mark after another character (checked when a model is loaded). So a text is
-cut there, and words are remembered per variant.
+cut there. The cut of a word depends only on which of its candidates are
+skipped, so what is remembered is a tree: a word's undropped cut and its number
+of candidates, below it the cuts after a first skip, and so on. An occurrence
+walks down its own skips; one without any takes the undropped cut.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 from array import array
@@ -25,41 +26,59 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MARK = "▁"
-VARIANTS = 4
-#: Words an executor's process remembers for each variant in each of two generations.
-MEMORY = 200_000
+#: Cuts an executor's process remembers in each of two generations.
+MEMORY = 400_000
 #: Longer words are cut each time they occur.
 LONGEST = 64
 SHORT = 48
 NEVER = 1 << 30
+#: Hashes made at once.
+CHUNK = 1 << 20
+
+
+class Cut:
+    """Ids of a word as bytes, after the skips that lead here; the number of
+    candidates taken; the cuts after one more skip, by its candidate."""
+
+    __slots__ = ("ids", "more", "taken")
+
+    def __init__(self, ids: bytes, taken: int) -> None:
+        self.ids, self.taken, self.more = ids, taken, {}
 
 
 class Memo(dict):
-    """word -> ids as bytes, cut when first asked for; ``older`` is the
-    generation before, whose words move up when met again."""
+    """word -> its undropped cut, made when first asked for; ``older`` is the
+    generation before, whose words move up when met again. ``size`` counts cuts."""
 
-    def __init__(self, model: Model, variant: int) -> None:
-        self.model, self.variant, self.older = model, variant, {}
+    def __init__(self, model: Model) -> None:
+        self.model, self.older, self.size = model, {}, 0
 
-    def __missing__(self, word: str) -> bytes:
-        if (ids := self.older.get(word)) is None:
-            ids = array("i", self.model.cut(word, self.variant)).tobytes()
+    def __missing__(self, word: str) -> Cut:
+        if (found := self.older.get(word)) is None:
+            found = self.model.cut(word, 0)
         if len(word) <= LONGEST:
-            self[word] = ids
-        return ids
+            self[word] = found
+            self.size += 1 + len(found.more)
+        return found
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finisher of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 class Model:
-    def __init__(self, path: str, rate: float = 0.0, seed: int = 0, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, rate: float = 0.0, seed: int = 0) -> None:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.rate, self.seed, self.variants = rate, seed, variants if rate > 0 else 1
+        self.rate, self.seed = rate, seed
         scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.bytes_: dict[int, int] = {}
@@ -85,48 +104,35 @@ class Model:
         crossing = any(MARK in p.lstrip(MARK) for p in self.ids)
         # a mark that stands in the text itself is kept as bytes
         self.words = re.compile(f"[^{MARK}]+|{MARK}" if crossing else f" *[^ {MARK}]+| +|{MARK}").findall
-        self.memos = [Memo(self, v) for v in range(self.variants)]
+        self.memo, self.taken = Memo(self), 0
 
-    def cut(self, word: str, variant: int) -> list[int]:
-        """Ids of one word (spaces are marks)."""
+    def cut(self, word: str, skips: int) -> Cut:
+        """One word (spaces are marks); bit n of ``skips`` skips candidate n."""
         if word == MARK:
-            return [self.bytes_[b] for b in word.encode()]
+            return Cut(array("i", [self.bytes_[b] for b in word.encode()]).tobytes(), 0)
         chars = list(word.replace(" ", MARK))
-        key = xxhash.xxh64_intdigest(word, seed=(self.seed * 1_000_003 + variant) % 2**64)
-        if len(chars) <= SHORT:
-            symbols = self._merge_short(chars, key)
-        else:
-            symbols = self._merge_long(chars, key)
+        symbols = self._merge_short(chars, skips) if len(chars) <= SHORT else self._merge_long(chars, skips)
         out = []
         for s in symbols:
             if (at := self.ids.get(s)) is not None:
                 out.append(at)
             else:
                 out += [self.bytes_[b] for b in s.encode()]
-        return out
-
-    def _skips(self, key: int) -> Iterator[bool]:
-        """For the candidates of a word in the order they leave the agenda:
-        is the keyed hash of the next one below the rate?"""
-        bound, n = int(self.rate * 65_536), 0
-        while True:
-            block = hashlib.blake2b(n.to_bytes(8, "little"), key=key.to_bytes(8, "little"), digest_size=64).digest()
-            for i in range(0, 64, 2):
-                yield block[i] | block[i + 1] << 8 < bound
-            n += 1
-
-    def _merge_short(self, symbols: list[str], key: int) -> list[str]:
+        return Cut(array("i", out).tobytes(), self.taken)
+
+    def _merge_short(self, symbols: list[str], skips: int) -> list[str]:
         """The agenda of a short word is a list of ranks: its least is taken,
         the leftmost of equals."""
         rank = self.rank.get
         agenda = [rank(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
-        skips = self._skips(key) if self.rate > 0 else None
+        taken = 0
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             i = agenda.index(best)
-            if skips is not None and next(skips):
+            taken += 1
+            if skips >> taken - 1 & 1:
                 agenda[i] = NEVER
                 continue
             symbols[i] += symbols.pop(i + 1)
@@ -135,15 +141,17 @@ class Model:
                 agenda[i - 1] = rank(symbols[i - 1] + symbols[i], NEVER)
             if i < len(agenda):
                 agenda[i] = rank(symbols[i] + symbols[i + 1], NEVER)
+        self.taken = taken
         return symbols
 
-    def _merge_long(self, chars: list[str], key: int) -> list[str]:
+    def _merge_long(self, chars: list[str], skips: int) -> list[str]:
         """The same with a heap and linked symbols: n log n for very long words."""
         symbols: list[str | None] = list(chars)
         n = len(symbols)
         prev, following = list(range(-1, n - 1)), list(range(1, n + 1))
         agenda: list[tuple[int, int, int, str]] = []
-        rank, skips = self.rank, self._skips(key) if self.rate > 0 else None
+        rank, taken = self.rank, 0
+        bits = skips.to_bytes(3 * n // 8 + 1 + skips.bit_length() // 8, "little")
 
         def offer(i: int) -> None:
             j = following[i]
@@ -158,7 +166,8 @@ class Model:
             _, i, j, piece = heapq.heappop(agenda)
             if symbols[i] is None or symbols[j] is None or following[i] != j or symbols[i] + symbols[j] != piece:
                 continue
-            if skips is not None and next(skips):
+            taken += 1
+            if bits[taken - 1 >> 3] >> (taken - 1 & 7) & 1:
                 continue
             symbols[i], symbols[j] = piece, None
             following[i] = following[j]
@@ -167,26 +176,67 @@ class Model:
             if prev[i] >= 0:
                 offer(prev[i])
             offer(i)
+        self.taken = taken
         return [s for s in symbols if s is not None]
 
+    def _skipped(self, row: int, places: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of candidates 0 to counts - 1 of the words at ``places``, those that are
+        skipped, as (index into places, candidate) in order. Whole words of
+        about CHUNK candidates at a time."""
+        bound = np.uint64(int(self.rate * 2**32))
+        x = np.full(len(places), (row * 0xD1342543DE82EF95 + self.seed * 0xA24BAED4963EE407) % 2**64, dtype=np.uint64)
+        keys = mixed(mixed(x) + (places.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        ends = np.cumsum(counts)
+        lo = 0
+        while lo < len(places):
+            before = ends[lo] - counts[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
+            k = counts[lo:hi]
+            index = np.repeat(np.arange(lo, hi), k)
+            number = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            h = mixed(keys[index] + (number.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+            hit = np.flatnonzero((h >> np.uint64(32)) < bound)
+            yield index[hit], number[hit]
+            lo = hi
+
+    def _below(self, word: str, cut: Cut, skipped: list[int]) -> Cut:
+        """Down the tree by the skips of an occurrence; those past the last
+        candidate taken never come up."""
+        if len(word) > LONGEST:
+            return self.cut(word, int.from_bytes(np.packbits(np.bincount(skipped) > 0, bitorder="little").tobytes(), "little"))
+        skips = 0
+        for at in skipped:
+            if at >= cut.taken:
+                break
+            skips |= 1 << at
+            if (found := cut.more.get(at)) is None:
+                found = cut.more[at] = self.cut(word, skips)
+                self.memo.size += 1
+            cut = found
+        return cut
+
     def encode(self, text: str, row: int = 0) -> np.ndarray:
-        """Ids of a whole text; ``row`` keys the variants of its words."""
+        """Ids of a whole text; ``row`` keys the skips of its words."""
         if not text:
             return np.empty(0, dtype=np.int32)
         words = self.words(" " + text if self.prefix else text)
-        if self.variants == 1:
-            out = b"".join(map(self.memos[0].__getitem__, words))
-        else:
-            x = np.arange(1, len(words) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            x += np.uint64((row * 0xD1342543DE82EF95 + self.seed) % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            v = ((x ^ (x >> np.uint64(27))) >> np.uint64(33)) % np.uint64(self.variants)
-            memos = self.memos
-            out = b"".join([memos[i][w] for i, w in zip(v.tolist(), words, strict=True)])
-        if sum(map(len, self.memos)) > MEMORY * self.variants:
-            for m in self.memos:
-                m.older = dict(m)
-                m.clear()
+        cuts = list(map(self.memo.__getitem__, words))
+        if self.rate > 0:
+            taken = np.fromiter((c.taken for c in cuts), np.int64, len(cuts))
+            met = [np.unique(i) for i, _ in self._skipped(row, np.arange(len(words)), taken)]
+            places = np.concatenate(met)
+            # a skip brings up other candidates, three a character at most
+            most = 3 * np.fromiter((len(words[p]) for p in places.tolist()), np.int64, len(places))
+            for index, number in self._skipped(row, places, most):
+                starts = np.flatnonzero(np.diff(index, prepend=-1)).tolist()
+                number, at = number.tolist(), places[index[starts]].tolist()
+                for p, lo, hi in zip(at, starts, [*starts[1:], len(number)], strict=True):
+                    cuts[p] = self._below(words[p], cuts[p], number[lo:hi])
+        out = b"".join([c.ids for c in cuts])
+        if self.memo.size > MEMORY:
+            self.memo.older = dict(self.memo)
+            self.memo.clear()
+            self.memo.size = 0
         return np.frombuffer(out, dtype="<i4")
 
     def decode(self, ids: np.ndarray) -> str:

@@ -47,3 +47,23 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r.lossless for r in rows)
     assert [r.n_tokens for r in rows if r.doc_id in (3, 4)] == [0, 0]
     assert encode(no_docs, PATH).count() == 0
+
+
+def test_occurrences_have_skips_of_their_own():
+    """A hot word in many rows takes more than four forms; each one is the agenda's own."""
+    model = Model(PATH, 0.1, 5)
+    word = "international"
+    forms = {tuple(model.encode(word, row).tolist()) for row in range(2000)}
+    assert len(forms) > 8
+    within = model.encode(" ".join([word] * 2000), 1)
+    assert len(within) > 2000 and model.decode(within) == " ".join([word] * 2000)
+    # without what is remembered, and cut by the whole mask of skips
+    import numpy as np
+
+    for row in range(200):
+        words = model.words(" a " + word + " b" * 20 + " " + word * 9)
+        mine = []
+        for p, w in enumerate(words):
+            hits = [n.tolist() for _, n in model._skipped(row, np.array([p]), np.array([3 * len(w)]))]
+            mine += np.frombuffer(model.cut(w, sum(1 << n for n in sum(hits, []))).ids, "<i4").tolist()
+        assert model.encode(("" if model.prefix else " ") + "a " + word + " b" * 20 + " " + word * 9, row).tolist() == mine
