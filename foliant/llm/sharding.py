@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise
+from .common import checked_broadcast, materialise, shuffled
 
 STEP = 8
 BITS = 56  # of each of the three hashes: seven steps
@@ -35,20 +35,23 @@ def key_hash(key: Column) -> Column:
 
 
 def assign_shards(
-    docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text", row: str | None = None
 ) -> DataFrame:
     """key, bytes, shard_id (the bits of the prefix, '' for the only shard),
     depth and shard_bytes of every row.
 
     bytes is the UTF-8 length of the text, 0 for a null one. A null key hashes
     like an empty one. A row above the limit ends alone or with rows of 0 bytes.
-    An empty table has no shards. Extra columns are ignored.
+    An empty table has no shards. Extra columns are ignored, but ``row``, if
+    given, is handed through.
     """
+    own = ["_row"] if row else []
     slim = docs.select(
         F.col(key).alias("_key"),
         F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("bytes"),
         key_hash(F.col(key)).alias("_h0"),
         F.xxhash64(F.col(key), F.col(text)).bitwiseAND(F.lit((1 << BITS) - 1)).alias("_h1"),
+        *([F.col(row).alias("_row")] if row else []),
     )
     slim = materialise(slim, "sized")
     # numbered once it is stored: the place of a stored row no longer changes
@@ -57,7 +60,7 @@ def assign_shards(
     done: list[DataFrame] = []
     active = slim.withColumn("_h2", place).withColumn("shard_id", F.lit(""))
     if total <= limit:
-        done.append(active.select("_key", "bytes", "shard_id", F.lit(int(total)).cast("long").alias("shard_bytes")))
+        done.append(active.select("_key", "bytes", "shard_id", F.lit(int(total)).cast("long").alias("shard_bytes"), *own))
         active = None
     else:
         active = materialise(active, "placed")
@@ -107,7 +110,7 @@ def assign_shards(
             .join(checked_broadcast(directory), ["shard_id", "_at"])
             .withColumn("shard_id", F.col("_shard"))
         )
-        done.append(placed.where("_ends").select("_key", "bytes", "shard_id", "shard_bytes"))
+        done.append(placed.where("_ends").select("_key", "bytes", "shard_id", "shard_bytes", *own))
         if directory.where("NOT _ends").limit(1).count() == 0:
             break
         active = materialise(placed.where("NOT _ends").select(*active.columns), "oversized")
@@ -115,18 +118,17 @@ def assign_shards(
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(F.col("_key").alias(key), "bytes", "shard_id", F.length("shard_id").alias("depth"), "shard_bytes")
+    carried = [F.col("_row").alias(row)] if row else []
+    return out.select(F.col("_key").alias(key), "bytes", "shard_id", F.length("shard_id").alias("depth"), "shard_bytes", *carried)
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> None:
-    """Write the rows into one folder per shard. Rows of a key that lies in one
-    shard (all but a key that alone exceeds the limit) go there; the rows of
-    such a key are dealt over its shards by the hash of their content."""
-    shards = assign_shards(docs, limit, key, text)
-    places = shards.groupBy(F.col(key).alias("_k")).agg(F.sort_array(F.collect_set("shard_id")).alias("_s"))
-    at = F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns]), F.size("_s")).cast("int")
-    joined = docs.join(places, F.col(key).eqNullSafe(F.col("_k"))).withColumn("shard_id", F.col("_s")[at])
-    joined.drop("_k", "_s").repartition("shard_id").write.partitionBy("shard_id").parquet(path)
+    """Write every row into the folder of the shard it is assigned to."""
+    # numbered in a stored table, so that a number stays with its row
+    numbered = materialise(docs.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    shards = materialise(assign_shards(numbered, limit, key, text, "_place").select("_place", "shard_id"), "assigned")
+    joined = numbered.join(shuffled(shards), "_place").drop("_place")
+    joined.repartition("shard_id").write.partitionBy("shard_id").parquet(path)
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

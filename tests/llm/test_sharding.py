@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import glob
 
+import pyarrow.parquet as pq
+
 from foliant.llm.queries import ORACLES
 from foliant.llm.sharding import assign_shards, op6_sharding, write_shards
 
@@ -43,3 +45,16 @@ def test_files(spark, sf, tmp_path):
     write_shards(docs, str(tmp_path / "out"), limit=40_000)
     back = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and len(glob.glob(str(tmp_path / "out/shard_id=*"))) > 1
+
+
+def test_files_keep_the_limit(spark, tmp_path):
+    """Equal rows, a hot key and an oversized row: bytes per written folder."""
+    rows = [(1, "same text")] * 200 + [(2, "x" * (i % 50)) for i in range(50)] + [(2, "y" * 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    write_shards(docs, str(tmp_path / "out"), limit=500)
+    texts = []
+    for folder in glob.glob(str(tmp_path / "out/shard_id=*")):
+        part = [t for f in glob.glob(f"{folder}/*.parquet") for t in pq.ParquetFile(f).read(["text"]).column(0).to_pylist()]
+        texts += part
+        assert sum(map(len, part)) <= 500 or sum(1 for t in part if t) == 1
+    assert sorted(texts) == sorted(t for _, t in rows)
