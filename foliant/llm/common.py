@@ -52,6 +52,13 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a table's bytes, for a number of partitions;
+    0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

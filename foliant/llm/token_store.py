@@ -12,10 +12,11 @@ without touching the ids.
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,131 +25,163 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, materialise, scratch
+from .common import checked_broadcast, input_bytes, materialise, scratch
 
-#: Distinct words an executor's process remembers in each of two generations.
-MEMORY = 700_000
+#: Words an executor's process remembers, and ids of such words.
+MEMORY, MEMORY_IDS = 700_000, 6_000_000
+#: Words sent to the library as one text.
+GROUP = 128
+#: Bytes of texts encoded at once, and of the input for each file at most.
+CHUNK, FILE_BYTES = 6 << 20, 64 << 20
 
 
-@lru_cache(2)
-def _encoder(path: str):
-    """texts -> little-endian int32 ids of each, equal to Tokenizer.encode(text, add_special_tokens=False).
+def gather(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids with these numbers one after another, and how long each is."""
+    k = lengths[numbers]
+    at = np.arange(int(k.sum())) + np.repeat(starts[numbers] - (np.cumsum(k) - k), k)
+    return ids[at], k
+
+
+class Encoder:
+    """Ids of texts, equal to Tokenizer.encode(text, add_special_tokens=False).
 
     Byte-level BPE cuts a text into pieces by a fixed pattern and merges inside
-    each; the merges of a piece depend on nothing else. So pieces are encoded
-    by the tokenizers library once and remembered. A text that holds the
-    string of an added token is encoded by the library as a whole.
+    each; the merges of a piece depend on nothing else, and a single space
+    between two characters that are not white space always starts a piece. So
+    what stands between such spaces is encoded by the tokenizers library once
+    and remembered, many at a time: the ids that open with the space tell where
+    the next one starts. A text that holds the string of an added token, or
+    any text of another kind of tokenizer, is encoded by the library as a whole.
     """
-    import json
-    import os
-    from itertools import pairwise
-
-    import regex
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    spec = json.loads(tok.to_str())
-    added = [t["content"] for t in spec.get("added_tokens", [])]
-    pre = spec.get("pre_tokenizer") or {}
-    plain = (
-        pre.get("type") == "ByteLevel"
-        and pre.get("use_regex", True)
-        and not pre.get("add_prefix_space")
-        and not spec.get("normalizer")
-        and spec["model"]["type"] == "BPE"
-        and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
-    )
-    cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-    pieces: dict[str, bytes] = {}
-    #: by what follows a single space; None where white space is next to it
-    words: dict[str, bytes | None] = {}
-    older = words  # the generation before: its words move up when met again
-
-    lead = regex.compile(r"(\p{L}+)(.*)", regex.DOTALL).fullmatch
-    opens = np.zeros(tok.get_vocab_size(with_added_tokens=True), dtype=bool)
-    opens[[i for t, i in tok.get_vocab(with_added_tokens=True).items() if t.startswith("Ġ")]] = True
-
-    def learn(new: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in tok.encode_batch_fast(new, add_special_tokens=False)]
-
-    def learn_letters(new: list[str]) -> None:
-        """Words of letters go to the library 128 at a time, a space before each:
-        the tokens that open with the space tell where the next one starts."""
-        for lo in range(0, len(new), 128):
-            part = new[lo : lo + 128]
-            ids = np.array(tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<i4")
-            raw = ids.tobytes()
-            ends = [*(4 * np.flatnonzero(opens[ids])).tolist(), len(raw)]
-            words.update(zip(part, (raw[a:z] for a, z in pairwise(ends)), strict=True))
-
-    def by_pieces(texts: list[str]) -> list[bytes]:
-        parts = [cut(t) for t in texts]
-        new = [p for p in set().union(*parts) if p not in pieces]
-        pieces.update(zip(new, learn(new), strict=True))
-        get = pieces.__getitem__
-        return [b"".join(map(get, ps)) for ps in parts]
-
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal words, older
-        if len(words) > MEMORY:
-            words, older = {}, words
-        if len(pieces) > MEMORY:
-            pieces.clear()
-        out: list[bytes] = [b""] * len(texts)
-        # a space between two other characters always starts a piece
-        split: dict[int, list[str]] = {}
-        heads: dict[int, str] = {}
-        odd: list[int] = []
-        met: set[str] = set()
-        for i, t in enumerate(texts):
-            if not plain or any(a in t for a in added):
-                out[i] = array("i", tok.encode(t, add_special_tokens=False).ids).tobytes()
-            elif t:
-                ws = t.split(" ")
-                heads[i] = ws.pop(0)
-                if ws and heads[i][-1:].isspace():
-                    odd.append(i)
-                else:
-                    split[i] = ws
-                    met.update(ws)
-        fresh = met.difference(words)
-        if older is not words:
-            again = fresh & older.keys()
-            words.update((w, older[w]) for w in again)
-            fresh -= again
-        letters = {w for w in fresh if w.isalpha()}  # one piece each
-        tails: dict[str, tuple[str, str]] = {}  # letters, then what no letter can join
-        rest = []
-        for w in fresh - letters:
-            if not w or w[0].isspace() or w[-1].isspace():
-                words[w] = None
-            elif m := lead(w):
-                tails[w] = m.groups()
-            else:
-                rest.append(w)
-        letters.update(a for a, _ in tails.values() if a not in words)
-        learn_letters(list(letters))
-        ends = list({z for _, z in tails.values()})
-        by_end = dict(zip(ends, by_pieces(ends), strict=True))
-        words.update((w, words[a] + by_end[z]) for w, (a, z) in tails.items())
-        words.update(zip(rest, by_pieces([" " + w for w in rest]), strict=True))
-        get = words.__getitem__
-        whole = []
-        for i, ws in split.items():
-            try:
-                out[i] = b"".join(map(get, ws))
-                whole.append(i)
-            except TypeError:  # None: pieces of this text don't end at every space
-                odd.append(i)
-        for i, head in zip(whole, by_pieces([heads[i] for i in whole]), strict=True):
-            out[i] = head + out[i]
-        for i, ids in zip(odd, by_pieces([texts[i] for i in odd]), strict=True):
+
+    def __init__(self, path: str) -> None:
+        import json
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        spec = json.loads(self.tok.to_str())
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        pre = spec.get("pre_tokenizer") or {}
+        self.plain = (
+            pre.get("type") == "ByteLevel"
+            and pre.get("use_regex", True)
+            and not pre.get("add_prefix_space")
+            and not spec.get("normalizer")
+            and spec["model"]["type"] == "BPE"
+            and not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and not any(" " in a for a in self.added)
+        )
+        self.opens = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), dtype=bool)
+        self.opens[[i for t, i in self.tok.get_vocab(with_added_tokens=True).items() if t.startswith("Ġ")]] = True
+        self.safe = re.compile(r"(?<=\S) (?=\S)").split
+        self._forget()
+
+    def _forget(self) -> None:
+        #: word -> its number; -1 where white space at its edge joins the space
+        self.table: dict[str, int] = {}
+        #: marks that follow a word -> their number; number 0 has no ids
+        self.marks: dict[str, int] = {"": 0}
+        self.starts, self.lengths = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.ids, self.used = np.empty(1 << 16, np.int32), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.int32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _store(self, ids: np.ndarray, starts: np.ndarray) -> range:
+        """Keep ids that are cut at starts; the numbers of the parts."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        n = len(self.starts)
+        self.starts = np.concatenate([self.starts, starts + self.used])
+        self.lengths = np.concatenate([self.lengths, np.diff(np.append(starts, len(ids)))])
+        self.used += len(ids)
+        return range(n, n + len(starts))
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The numbers of words, new ones learned first."""
+        numbers = np.fromiter(map(self.table.get, words, repeat(-2)), np.int64, len(words))
+        new = np.flatnonzero(numbers == -2).tolist()
+        if new:
+            fresh = {words[i] for i in new}
+            good = [w for w in fresh if w and w == w.strip()]
+            if len(good) < len(fresh):
+                self.table.update((w, -1) for w in fresh.difference(good))
+            groups = [" " + " ".join(good[i : i + GROUP]) for i in range(0, len(good), GROUP)]
+            ids = np.concatenate([np.empty(0, np.int32), *self._whole(groups)])
+            starts = np.flatnonzero(self.opens[ids])
+            self.table.update(zip(good, self._store(ids, starts), strict=True))
+            numbers[new] = np.fromiter(map(self.table.__getitem__, (words[i] for i in new)), np.int64, len(new))
+        return numbers
+
+    def _marks(self, marks: list[str]) -> np.ndarray:
+        """The numbers of runs of ASCII marks."""
+        fresh = list(set(marks).difference(self.marks))
+        if fresh:
+            ids = self._whole(fresh)
+            ends = np.cumsum([len(i) for i in ids])
+            self.marks.update(zip(fresh, self._store(np.concatenate(ids), np.append(0, ends[:-1])), strict=True))
+        return np.fromiter(map(self.marks.__getitem__, marks), np.int64, len(marks))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words one after another, how many each has, and which
+        can't stand alone. Letters and the ASCII marks after them are looked up
+        apart: a piece of letters ends there."""
+        if len(self.table) + len(self.marks) > MEMORY or self.used > MEMORY_IDS:
+            self._forget()
+        parts = pc.extract_regex(words, r"^(?P<letters>\pL+)(?P<marks>[!-/:-@\[-`{-~]+)$")
+        hit = parts.is_valid()
+        letters = pc.if_else(hit, pc.struct_field(parts, "letters"), words).dictionary_encode()
+        letters = self._numbers(letters.dictionary.to_pylist())[letters.indices.to_numpy()]
+        marks = pc.if_else(hit, pc.struct_field(parts, "marks"), "").dictionary_encode()
+        marks = self._marks(marks.dictionary.to_pylist())[marks.indices.to_numpy()]
+        ids, k = gather(self.ids, self.starts, self.lengths, np.stack([np.maximum(letters, 0), marks], axis=1).ravel())
+        return ids, k.reshape(-1, 2).sum(axis=1), letters < 0
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        special = np.full(len(texts), not self.plain)
+        for a in self.added:
+            special |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        at = np.flatnonzero(special).tolist()
+        for i, ids in zip(at, self._whole([texts[i].as_py() for i in at]), strict=True):
             out[i] = ids
+        at = np.flatnonzero(~special)
+        if not len(at):
+            return out
+        texts = texts.filter(pa.array(~special)) if special.any() else texts
+        lists = pc.split_pattern(texts, " ")
+        counts = pc.list_value_length(lists).to_numpy() - 1
+        parts = lists.flatten()
+        first = np.zeros(len(parts), dtype=bool)
+        first[np.cumsum(counts + 1) - counts - 1] = True
+        heads = parts.filter(pa.array(first)).to_pylist()
+        words = parts.filter(pa.array(~first)).dictionary_encode()
+        pool, lengths, bad = self._words(words.dictionary)
+        index = words.indices.to_numpy()
+        text_of = np.repeat(np.arange(len(counts)), counts)
+        odd = np.zeros(len(counts), dtype=bool)
+        odd[text_of[bad[index]]] = True
+        odd |= (counts > 0) & np.array([h[-1:].isspace() for h in heads])
+        good = ~odd[text_of]
+        ids, k = gather(pool, np.cumsum(lengths) - lengths, lengths, index[good])
+        ends = np.cumsum(np.bincount(text_of[good], weights=k, minlength=len(counts)).astype(np.int64))
+        starts = np.concatenate([[0], ends[:-1]])
+        tails = {}
+        for i in np.flatnonzero(odd).tolist():
+            heads[i], *kept = self.safe(texts[i].as_py())
+            tails[i] = gather(self.ids, self.starts, self.lengths, self._numbers(kept))[0]
+        for i, (j, head) in enumerate(zip(at.tolist(), self._whole(heads), strict=True)):
+            out[j] = np.concatenate([head, tails[i] if odd[i] else ids[starts[i] : ends[i]]])
         return out
 
-    return encode
+
+@lru_cache(2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write_tokens(
@@ -164,33 +197,38 @@ def write_tokens(
 ) -> None:
     """Tokenise every whole text and write the ids in ascending key order.
 
-    Null texts count as empty. Rows of one key come in the order of their
-    texts; null keys come first. Extra columns are not written. An empty table
-    writes an empty folder with the schema.
+    Null texts count as empty. Rows of one key come in the order of a hash of
+    their texts; null keys come first. A key with many rows, equal or not, is
+    dealt to many files, and there are more files than shuffle partitions where
+    the table is large. Extra columns are not written. An empty table writes an
+    empty folder with the schema.
     """
     if encoding not in ("delta", "dictionary"):
         raise ValueError(f"encoding {encoding!r}: delta or dictionary")
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, "key").sortWithinPartitions("key", "text")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(rows) // FILE_BYTES)
+    order = ["key", "hash", "row"]
+    keyed = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ranged = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("key", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, start, enc = TaskContext.get().partitionId(), 0, _encoder(tokenizer)
-        tail = np.array([] if end_id is None else [end_id], dtype="<i4").tobytes()
+        tail = np.array([] if end_id is None else [end_id], dtype=np.int32)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             lengths = pc.binary_length(texts).to_numpy()
             lo = 0
             while lo < len(texts):  # bounded output, whatever the input batch is
                 size, hi = 0, lo
-                while hi < len(texts) and size < 2_000_000:
+                while hi < len(texts) and size < CHUNK:
                     size += int(lengths[hi])
                     hi += 1
-                arrays = [np.frombuffer(b + tail, dtype="<i4") for b in enc(texts.slice(lo, hi - lo).to_pylist())]
-                counts = np.array([len(a) for a in arrays], dtype=np.int64)
+                arrays = enc(texts.slice(lo, hi - lo))
+                counts = np.array([len(a) + len(tail) for a in arrays], dtype=np.int64)
+                arrays = [x for a in arrays for x in (a, tail)]
                 offsets = np.concatenate([[0], np.cumsum(counts)])
                 yield pa.record_batch(
                     [

@@ -58,3 +58,13 @@ def test_files(spark, sf, tmp_path):
     assert "ids:array" not in plan
     few = spark.read.parquet(str(tmp_path / "delta")).where("doc_id = 17")
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,17)]" in few._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_hot_key_is_dealt_out(spark, tmp_path):
+    """Equal rows of one key, and of no key, don't end in one file."""
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, 7, null) AS doc_id", "'one and the same text' AS text")
+    write_tokens(rows.repartition(4), str(tmp_path / "hot"), PATH)
+    read = read_tokens(spark, str(tmp_path / "hot"))
+    assert read.groupBy("part").count().agg({"count": "max"}).first()[0] < 2000
+    spans = sorted((r.start, r.n_tokens) for r in read.select("start", "n_tokens").collect())
+    assert all(a[0] + a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)) and len(spans) == 4000
