@@ -11,17 +11,20 @@ marginal, which is the score.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
+#: Characters labelled at once.
+CHUNK = 1 << 20
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 
@@ -69,13 +72,18 @@ class Crf:
             self.cache.clear()
             self._table = np.empty((1024, len(self.labels)), dtype=np.float64)
         cache = self.cache
-        for w in {w for w in words if w not in cache}:
+        fresh = list(set(words).difference(cache))
+        for lo in range(0, len(fresh), 20_000):
+            part = fresh[lo : lo + 20_000]
+            ids = [features(w, self.lexicon) for w in part]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            e = np.add.reduceat(self.weights[np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))], np.cumsum(sizes) - sizes)
+            e = e / np.sqrt(sizes)[:, None]
             i = len(cache)
-            if i == len(self._table):
+            while i + len(part) > len(self._table):
                 self._table = np.concatenate([self._table, np.empty_like(self._table)])
-            e = self.emission(w)
-            self._table[i] = np.exp(e - e.max())
-            cache[w] = i
+            self._table[i : i + len(part)] = np.exp(e - e.max(axis=1, keepdims=True))
+            cache.update(zip(part, range(i, i + len(part)), strict=True))
         return self._table[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))]
 
     def marginals(self, texts: list[list[str]], weights: np.ndarray | None = None) -> list[np.ndarray]:
@@ -222,7 +230,8 @@ def fit(
     of each from a keyed place: the bound of the driver's memory and of the
     model. The sample is taken by hash, from all rows. ``switches`` windows are
     glued together from pieces of two texts, so that transitions between
-    languages are seen in training. No rows give a model without labels."""
+    languages are seen in training. The pieces are cut out on the executors; no
+    whole text reaches the driver. No rows give a model without labels."""
     rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
     labels = sorted(counts)
@@ -233,16 +242,23 @@ def fit(
     for name in labels:  # hashes below the limit: a third more rows than wanted
         most = min(1 << 30, int((1 << 30) * 1.4 * (per_label + 20) / counts[name]))
         limit = F.when(F.col(label) == name, F.lit(most)).otherwise(limit)
-    picked = rows.select(F.col(label).alias("y"), F.col(text).alias("t"), u.alias("u")).where(u < limit).collect()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for t, at in zip(b.column(1), b.column(2).to_pylist(), strict=True):
+                words = tokens(t.as_py())
+                at %= max(1, len(words) - words_each + 1)
+                kept.append(words[at : at + words_each])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(kept, pa.list_(pa.string()))], names=["y", "u", "words"])
+
+    picked = rows.select(F.col(label).alias("y"), F.col(text).alias("t"), u.alias("u")).where(u < limit)
+    picked = picked.mapInArrow(pieces, "y string, u long, words array<string>").where("size(words) > 0").collect()
     samples, taken = [], dict.fromkeys(labels, 0)
-    for r in sorted(picked, key=lambda r: (r.y, r.u, r.t)):
-        words = tokens(r.t)
-        if not words or taken[r.y] >= per_label:
-            continue
-        taken[r.y] += 1
-        at = r.u % max(1, len(words) - words_each + 1)
-        words = words[at : at + words_each]
-        samples.append((words, [labels.index(r.y)] * len(words)))
+    for r in sorted(picked, key=lambda r: (r.y, r.u, r.words)):
+        if taken[r.y] < per_label:
+            taken[r.y] += 1
+            samples.append((r.words, [labels.index(r.y)] * len(r.words)))
     rng = np.random.default_rng(seed)
     for _ in range(min(switches, len(samples)) if len(labels) > 1 else 0):
         a, b = (samples[i] for i in rng.integers(0, len(samples), 2))
@@ -253,23 +269,34 @@ def fit(
 
 
 def label_words(df: DataFrame, model: Crf, text: str = "text") -> DataFrame:
-    """All columns with ``words``: array of (word, lang, p), null for a null text."""
+    """All columns with ``words``: array of (word, lang, p), null for a null text;
+    und with 0 for every word if the model has no labels."""
     out = df.drop("words")
     cols = out.columns
     place = cols.index(text)
+    words_type = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(place).to_pylist()
-            toks = [tokens(t) for t in texts]
-            rows = []
-            for t, ws, m in zip(texts, toks, model.marginals(toks), strict=True):
-                best = m.argmax(axis=1) if len(ws) else []
-                rows.append(
-                    None if t is None else [{"word": w, "lang": model.labels[k], "p": float(m[i, k])} for i, (w, k) in enumerate(zip(ws, best, strict=True))]
-                )
-            kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("p", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rows, kind)], names=[*cols, "words"])
+            lo = 0
+            while lo < b.num_rows:
+                toks, size, hi = [], 0, lo
+                while hi < b.num_rows and size < CHUNK:
+                    t = b.column(place)[hi].as_py()
+                    toks.append(None if t is None else tokens(t))
+                    size += len(t or "")
+                    hi += 1
+                rows = []
+                marginals = model.marginals([ws or [] for ws in toks]) if model.labels else [None] * len(toks)
+                for ws, m in zip(toks, marginals, strict=True):
+                    if ws is None or m is None:
+                        rows.append(ws and [{"word": w, "lang": UNKNOWN, "p": 0.0} for w in ws])
+                    else:
+                        best = m.argmax(axis=1).tolist() if ws else []
+                        rows.append([{"word": w, "lang": model.labels[k], "p": float(m[i, k])} for i, (w, k) in enumerate(zip(ws, best, strict=True))])
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, words_type)], names=[*cols, "words"])
+                lo = hi
 
     from pyspark.sql import types as T
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from foliant.llm.language import Crf, fit, identify, label_words, op3_language_id, train
+from foliant.llm.language import tokens, Crf, fit, identify, label_words, op3_language_id, train
 
 
 def test_marginals_by_enumeration():
@@ -59,3 +59,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert isinstance(empty, Crf) and empty.labels == []
     assert {r.lang_pred for r in identify(odd_docs, empty).collect()} == {"und"}
     assert identify(no_docs, model).count() == 0
+    words = label_words(odd_docs, empty).select("text", "words").collect()
+    assert all((r.words is None) == (r.text is None) for r in words)
+    assert {w.lang for r in words for w in r.words or []} == {"und"}
+
+
+def test_signs_that_are_no_letters(spark, sf):
+    model = fit(spark.read.parquet(f"{sf}/documents.parquet"), per_label=20)
+    rows = spark.createDataFrame([(1, "½ ² ① Ⅷ 12 _"), (2, "x½y")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(rows, model).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] != "und"
+    assert tokens("Straße½x² 中文 ábc1d") == ["straße", "x", "中文", "ábc", "d"]
