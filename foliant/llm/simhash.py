@@ -33,10 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffled
+from .common import checked_broadcast, materialise, shuffled
 
 SEED = 42
 TILE = 8_192
+#: Components of more nodes meet their smallest id apart from the others.
+HOT_ROOT = 1_000
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -424,8 +426,15 @@ def near_duplicates(
     rooted = least.join(comp, least[node] == comp.node, "left").select(
         node, "least", F.coalesce("root", node).alias("root")
     )
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = materialise(rooted.join(ids, "root").select(node, "component_id"), "components")
+    rooted = materialise(rooted, "rooted")
+    ids = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "roots")
+    # the few roots with very many nodes would each fill one task of a shuffle
+    hot = checked_broadcast(ids.where(F.col("n") > HOT_ROOT).select("root", F.col("component_id").alias("_hot"), F.lit(True).alias("_is_hot")))
+    rooted = rooted.join(hot, "root", "left")
+    by_node = rooted.where("_is_hot").select(node, F.col("_hot").alias("component_id")).unionByName(
+        rooted.where("_is_hot IS NULL").join(shuffled(ids.where(F.col("n") <= HOT_ROOT)), "root").select(node, "component_id")
+    )
+    by_node = materialise(by_node, "components")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(by_node, node).select("doc_id", digits.alias("fingerprint"), "component_id")
 
