@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "ft", "ﬆ": "st"}
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1C-\x1F]"
 
 
@@ -151,9 +151,11 @@ def is_hyphen_break(before: Column, after: Column) -> Column:
 
 
 def looks_like_code(t: Column) -> Column:
-    return t.rlike(r"^\s*(?:def|class|return|import|from|if|for|while|var|let|const|function)\b.*[:({;=]") | (
-        F.regexp_count(t, F.lit(r"[{}();=<>]")) >= 3
-    )
+    """A row of source code: it opens with a statement or a comment, or assigns
+    with at least three marks of programming. ``t`` is case folded."""
+    row = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    opens = row.rlike(r"^(?:def |for |while |if |elif |else:|return |//|# )")
+    return opens | (row.contains(" = ") & (F.regexp_count(row, F.lit(r"[()\[\]{}_=/*]")) >= 3))
 
 
 def odd_character_ratios(t: Column) -> dict[str, Column]:
@@ -167,14 +169,31 @@ def odd_character_ratios(t: Column) -> dict[str, Column]:
     }
 
 
-def suspicious(t: Column) -> Column:
-    """Tokens no reader would have typed: controls, marks only, one character repeated."""
+def suspicious(t: Column, box_area: Column, confidence: Column) -> Column:
+    """Tokens no reader would have typed: hardly printable, controls, nothing but
+    punctuation or one repeated mark, or one unsure character in a large box. A
+    null confidence is none."""
     n = F.length(t)
-    controls = F.regexp_count(t, F.lit(r"\p{C}"))
-    marks = ~t.rlike(r"[\p{L}\p{N}]")
+    share = lambda p: F.regexp_count(t, F.lit(p)) / n
+    alnum = F.regexp_count(t, F.lit(r"[\p{L}\p{N}]"))
     chars = F.split(t, "")
     most = F.array_max(F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c))))
-    return (n == 0) | (controls > 0.1 * n) | ((n > 1) & marks) | ((n >= 4) & (most >= 0.8 * n))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence.cast("double"), F.lit(0.0))))
+    return (
+        (n == 0)
+        | (share(r"[\p{C}\p{Z}&&[^ ]]") > 0.1)
+        | (share(r"\p{C}") > 0.1)
+        | ((alnum == 0) & (n >= 4) & (share(r"\p{P}") > 0.8))
+        | ((alnum == 0) & (n >= 5) & (most / n > 0.82))
+        | ((n == 1) & (box_area > 2500) & (sure < 0.7))
+    )
+
+
+def orientation_plausible(t: Column, width: Column, height: Column, rotation: Column) -> Column:
+    """Whether a box is longer along the token's own direction; one character always fits."""
+    turned = F.pmod(F.coalesce(rotation, F.lit(0)), F.lit(360)).isin(90, 270)
+    fits = F.when(turned, height >= width * 1.15).otherwise(width >= height * 1.15)
+    return (F.length(F.trim(t)) <= 1) | fits
 
 
 def escape_markdown(t: Column, heading: bool = False) -> Column:

@@ -32,6 +32,16 @@ def prf(tp: Column, fp: Column, fn: Column, digits: int = 4) -> dict[str, Column
     return {"precision": F.round(p, digits), "recall": F.round(r, digits), "f1": F.round(ratio(2 * p * r, p + r), digits)}
 
 
+def match_rates(tp: Column, n_hyp: Column, n_ref: Column, perfect_if_empty: Column, digits: int = 4) -> dict[str, Column]:
+    """Precision, recall and the F1 of both as rounded. Without a reference all
+    three are 1 where ``perfect_if_empty`` holds; else only what nothing refutes."""
+    none = n_ref == 0
+    p = F.when(none & perfect_if_empty, 1.0).when(n_hyp > 0, F.round(tp / n_hyp, digits)).when(none, 1.0).otherwise(0.0)
+    r = F.when(none, 1.0).otherwise(F.round(tp / n_ref, digits))
+    f = F.when(none & perfect_if_empty, 1.0).otherwise(F.round(ratio(2 * p * r, p + r), digits))
+    return {"precision": p, "recall": r, "f1": f}
+
+
 def upper_median(values: Column) -> Column:
     """The element at n // 2 of the sorted values."""
     s = F.sort_array(values)

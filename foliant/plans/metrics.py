@@ -12,7 +12,7 @@ from ..operators import multiset as M
 from ..operators import spatial as S
 from .base import table
 from .registry import query
-from .text import PAIRS, docs, pairs
+from .text import docs, whole_pairs
 
 #: Runs: the reference pages of a source, and a reading that lacks some of them.
 RUN = """ref AS (SELECT source, doc_id AS page, lang, text AS body FROM documents),
@@ -42,18 +42,15 @@ def quality_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "pages", M.ratio(F.col("ce"), F.col("cl")).alias("cer"), M.ratio(F.col("we"), F.col("wl")).alias("wer"), "duplicate_lines")
 
 
-@query(
-    "a03_micro_error",
-    f"""WITH {PAIRS}, c AS (SELECT d.lang, p.doc_id, CASE WHEN p.doc_id % 17 = 0 THEN length(ref) ELSE levenshtein(hyp, ref) END AS e, length(ref) AS n
-      FROM p JOIN documents d USING (doc_id))
-    SELECT lang, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS chars, sum(e) / CAST(sum(n) AS DOUBLE) AS cer, count(*) FILTER (WHERE doc_id % 17 = 0) AS missing FROM c GROUP BY lang""",
-)
+@query("a03_micro_error", None)
 def micro_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A missing page counts all of its characters as edits."""
-    p = pairs(spark, sf_dir)
+    """Edits over characters of whole texts; a missing page counts all of its
+    characters as edits."""
+    p = whole_pairs(spark, sf_dir)
     missing = F.col("doc_id") % 17 == 0
-    e = F.when(missing, F.length("ref")).otherwise(F.levenshtein("hyp", "ref"))
-    g = p.groupBy("lang").agg(F.sum(e).alias("edits"), F.sum(F.length("ref")).alias("chars"), F.count_if(missing).alias("missing"))
+    e = D.char_distance(F.when(missing, "").otherwise(F.col("hyp")), F.col("ref"))
+    p = p.select("lang", missing.alias("gone"), e.alias("e"), F.length("ref").alias("n"))
+    g = p.groupBy("lang").agg(F.sum("e").alias("edits"), F.sum("n").alias("chars"), F.count_if("gone").alias("missing"))
     return g.withColumn("cer", F.col("edits") / F.col("chars"))
 
 
@@ -238,14 +235,11 @@ def best_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.withColumn("is_best", F.abs(F.col("value") - best) <= 1e-6)
 
 
-@query(
-    "a17_worst_pages",
-    f"""WITH {PAIRS} SELECT doc_id, levenshtein(hyp, ref) / CAST(greatest(length(ref), 1) AS DOUBLE) AS cer FROM p ORDER BY cer DESC, doc_id LIMIT 20""",
-)
+@query("a17_worst_pages", None)
 def worst_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report lists twenty pages: top-k, no full sort."""
-    p = pairs(spark, sf_dir)
-    return p.select("doc_id", (F.levenshtein("hyp", "ref") / F.greatest(F.length("ref"), F.lit(1))).alias("cer")).orderBy(F.desc("cer"), "doc_id").limit(20)
+    """The twenty pages of the highest character error rate over whole texts."""
+    p = whole_pairs(spark, sf_dir).select("doc_id", (D.char_distance("hyp", "ref") / F.greatest(F.length("ref"), F.lit(1))).alias("cer"))
+    return p.orderBy(F.col("cer").desc(), "doc_id").limit(20)
 
 
 @query(
@@ -335,11 +329,11 @@ def counter_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j21_selected_bodies",
     f"""WITH {RUN} SELECT r.source, md5(string_agg(coalesce(h.body, ''), chr(10) ORDER BY r.page)) AS hyp_digest, md5(string_agg(r.body, chr(10) ORDER BY r.page)) AS ref_digest
-    FROM ref r LEFT JOIN hyp h ON h.page = r.page WHERE r.page % 50 < 5 GROUP BY r.source""",
+    FROM ref r LEFT JOIN hyp h ON h.page = r.page GROUP BY r.source""",
 )
 def selected_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selected pages in order, missing ones empty: the selection is the report's own."""
-    r = ref_pages(spark, sf_dir).where("page % 50 < 5")
+    """All pages in order, missing ones empty."""
+    r = ref_pages(spark, sf_dir)
     h = hyp_pages(spark, sf_dir).select("page", F.col("body").alias("hyp"))
     j = r.join(h, "page", "left").withColumn("hyp", F.coalesce("hyp", F.lit("")))
     rows = F.sort_array(F.collect_list(F.struct("page", "hyp", "body")))

@@ -26,11 +26,12 @@ def f01(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f02_reading_text",
-    r"""SELECT doc_id, md5(replace(replace(nfc_normalize(text), 'fi', 'fi'), 'ﬁ', 'fi')) AS digest FROM documents""",
+    r"""SELECT doc_id, md5(replace(nfc_normalize(text), 'ft', 'st')) AS digest FROM documents""",
 )
 def f02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ligatures come back as letters: the input has every fi glued."""
-    glued = F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ"))
+    """Ligatures come back as letters: the input has every fi glued, and a long s
+    with t (U+FB05), which reads st, for every ft."""
+    glued = F.replace(F.replace(F.col("text"), F.lit("fi"), F.lit("ﬁ")), F.lit("ft"), F.lit("ﬅ"))
     return docs(spark, sf_dir).select("doc_id", F.md5(T.normalize_reading_text(glued)).alias("digest"))
 
 
@@ -142,19 +143,6 @@ def f15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "i", T.is_hyphen_break(F.concat(F.regexp_replace("line", r"\W+$", ""), F.lit("-")), F.col("next")).alias("joins"))
 
 
-@query(
-    "f17_f19_token_predicates",
-    r"""WITH w AS (SELECT DISTINCT unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w FROM documents),
-    c AS (SELECT w, len(regexp_extract_all(w, '[{}();=<>]')) >= 3 OR regexp_matches(w, '^\s*(?:def|class|return|import|from|if|for|while|var|let|const|function)\b.*[:({;=]') AS code,
-      (SELECT max(n) FROM (SELECT count(*) AS n FROM (SELECT unnest(string_split(w, '')) AS ch) GROUP BY ch)) AS most FROM w)
-    SELECT w, code, length(w) = 0 OR len(regexp_extract_all(w, '[\x00-\x1F\x7F-\x9F]')) > 0.1 * length(w) OR (length(w) > 1 AND NOT regexp_matches(w, '[\p{L}\p{N}]'))
-      OR (length(w) >= 4 AND most >= 0.8 * length(w)) AS suspicious FROM c""",
-)
-def f17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = docs(spark, sf_dir).select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).distinct()
-    return w.select("w", T.looks_like_code(F.col("w")).alias("code"), T.suspicious(F.col("w")).alias("suspicious"))
-
-
 @query(
     "f18_odd_characters",
     r"""SELECT doc_id, length(regexp_replace(t, '[^�]', '', 'g')) / CAST(greatest(length(t), 1) AS DOUBLE) AS replacement,
@@ -183,46 +171,6 @@ def f21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", d.alias("digits"), C.valid_cpf(d).alias("valid"))
 
 
-@query(
-    "f22_format_scores",
-    r"""WITH t AS (SELECT o_orderkey, lpad(CAST(o_orderkey % 40 AS VARCHAR), 2, '0') || '/' || lpad(CAST(o_custkey % 14 AS VARCHAR), 2, '0') || '/20' || lpad(CAST(o_orderkey % 90 + 10 AS VARCHAR), 2, '0') AS s FROM orders)
-    SELECT o_orderkey, s, CAST(CASE WHEN try_strptime(s, '%d/%m/%Y') IS NOT NULL THEN 1.0 ELSE 0.4 END AS DOUBLE) AS as_date,
-      CAST(0 AS DOUBLE) AS as_number, CAST(CASE WHEN length(regexp_replace(s, '\D', '', 'g')) BETWEEN 8 AND 13 THEN 1 ELSE 0 END AS DOUBLE) AS as_phone FROM t""",
-)
-def f22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    s = F.concat_ws("/", two(F.col("o_orderkey") % 40), two(F.col("o_custkey") % 14), F.concat(F.lit("20"), two(F.col("o_orderkey") % 90 + 10)))
-    t = table(spark, sf_dir, "orders").select("o_orderkey", s.alias("s"))
-    return t.select("o_orderkey", "s", *[C.format_score(F.col("s"), F.lit(k)).alias(f"as_{k}") for k in ("date", "number", "phone")])
-
-
-@query(
-    "f23_context_type",
-    r"""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'cnpj' WHEN o_orderkey % 5 = 1 THEN 'cpf' WHEN o_orderkey % 5 = 2 THEN 'date' WHEN o_orderkey % 5 = 3 THEN 'currency' END AS kind FROM orders""",
-)
-def f23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first type by precedence that a label names (labels name two)."""
-    labels = F.array(F.lit("Data / CNPJ:"), F.lit("Valor CPF"), F.lit("DATA e valor"), F.lit("Valor total"), F.lit("nome"))
-    label = F.element_at(labels, (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", C.context_type(label).alias("kind"))
-
-
-@query("f24_critical_values", None)
-def f24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("CPF 123.456.789-09 em 01/02/2024, processo 0001234-56.2024.8.26.0100 "), "text")
-    return docs(spark, sf_dir).select("doc_id", F.array_join(C.critical_values(t), " ").alias("found"))
-
-
-@query(
-    "f25_signed_amounts",
-    r"""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END || CAST(CAST(round(o_totalprice, 2) AS DECIMAL(20,2)) AS VARCHAR) || ' ' || CAST(CAST(o_custkey % 100 AS DECIMAL(20,2)) AS VARCHAR) || '%' AS amounts FROM orders""",
-)
-def f25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    money = F.replace(F.round("o_totalprice", 2).cast("decimal(20,2)").cast("string"), F.lit("."), F.lit(","))
-    t = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise(""), F.lit("R$ "), money, F.lit(" e "), (F.col("o_custkey") % 100).cast("string"), F.lit(" %"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(C.signed_amounts(t), " ").alias("amounts"))
-
-
 @query(
     "f29_f30_words_from_lines",
     r"""WITH t AS (SELECT conv_id, turn, text, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE trim(text) <> '')
@@ -259,48 +207,19 @@ def f32(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(T.escape_markdown(t, heading=True)).alias("inline_digest"), F.md5(T.escape_html(t)).alias("html_digest"), F.md5(T.escape_cell(t)).alias("cell_digest"))
 
 
-@query(
-    "f28_passage_recovery",
-    """SELECT b.item_id, min(d.doc_id) AS first_doc, count(*) AS n FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id""",
-)
-def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages in documents: word five-grams meet by hash, whole passages decide."""
-    gram = lambda t: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(t) - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(t, i + 1, 5), " ")))
-    ws = lambda t: F.split(F.trim(t), r"\s+")
-    bench = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), ws(F.col("text")).alias("w"))
-    # the second window of a passage has whole words at both ends
-    keyed = bench.select("item_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, 5), " ")).alias("g"))
-    d = docs(spark, sf_dir).select("doc_id", "text", ws(F.col("text")).alias("w"))
-    grams = d.select("doc_id", F.explode(F.array_distinct(gram(F.col("w")))).alias("g"))
-    hits = grams.join(keyed, "g").select("doc_id", "item_id", "passage").distinct()
-    whole = hits.join(d.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("passage")))
-    return whole.groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-
-
-PAIRS = """p AS (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 300) AS ref,
-      substr(replace(regexp_replace(text, '[^ -~]', '', 'g'), 'th', 'd'), 1, 280) AS hyp FROM documents)"""
-
-
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reference and a garbled reading of the head of each document, in ASCII."""
-    plain = F.regexp_replace("text", r"[^ -~]", "")
-    return docs(spark, sf_dir).select("doc_id", "lang", F.substring(plain, 1, 300).alias("ref"), F.substring(F.replace(plain, F.lit("th"), F.lit("d")), 1, 280).alias("hyp"))
-
-
 def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference and a garbled reading of each whole document, in ASCII."""
     plain = F.regexp_replace("text", r"[^ -~]", "")
     return docs(spark, sf_dir).select("doc_id", "lang", plain.alias("ref"), F.replace(plain, F.lit("th"), F.lit("d")).alias("hyp"))
 
 
-@query(
-    "e01_e07_character_error",
-    f"WITH {PAIRS} SELECT doc_id, levenshtein(hyp, ref) AS edits, CASE WHEN length(ref) = 0 THEN 0 ELSE levenshtein(hyp, ref) / CAST(length(ref) AS DOUBLE) END AS cer FROM p",
-)
+@query("e01_e07_character_error", None)
 def e01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.levenshtein("hyp", "ref").cast("long")
-    return pairs(spark, sf_dir).select("doc_id", d.alias("edits"), D.error_rate(d, F.length("ref")).alias("cer"))
+    """Edits and error rates of whole texts, over characters and over words."""
+    p = whole_pairs(spark, sf_dir)
+    d, w = D.char_distance("hyp", "ref"), D.word_distance("hyp", "ref")
+    n = F.size(F.filter(F.split("ref", r"\s+"), lambda x: x != ""))
+    return p.select("doc_id", d.alias("edits"), w.alias("word_edits"), D.error_rate(d, F.length("ref")).alias("cer"), D.error_rate(w, n).alias("wer"))
 
 
 @query("e02_word_operations", None)
@@ -317,15 +236,3 @@ def e03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("e04_pairwise_similarity", None)
 def e04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole_pairs(spark, sf_dir).withColumn("m", D.pairwise("ref", "hyp")).select("doc_id", "m.*")
-
-
-@query(
-    "e06_rewrite_guard",
-    f"""WITH {PAIRS} SELECT doc_id, length(regexp_replace(hyp, '\\s', '', 'g')) >= 0.6 * length(regexp_replace(ref, '\\s', '', 'g')) AS covers,
-      regexp_extract_all(hyp, '[0-9]+') = regexp_extract_all(ref, '[0-9]+') AS conserves FROM p""",
-)
-def e06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rewrite must keep the critical values and most characters."""
-    digits = lambda c: F.regexp_extract_all(F.col(c), F.lit("[0-9]+"), 0)
-    size = lambda c: F.length(T.compact(F.col(c)))
-    return pairs(spark, sf_dir).select("doc_id", (size("hyp") >= 0.6 * size("ref")).alias("covers"), (digits("hyp") == digits("ref")).alias("conserves"))
