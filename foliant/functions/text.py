@@ -87,21 +87,22 @@ def strip_page_heading(t: Column) -> Column:
 
 
 def strip_markdown(t: Column) -> Column:
-    """Reading text of Markdown: comments, heading marks, quotes, emphasis and
-    code marks go; rows of a pipe table become cells two spaces apart."""
-
-    def row(x: Column) -> Column:
-        body = F.regexp_replace(F.trim(x), r"^\||\|$", "")
-        cells = F.transform(F.split(body, r"\|"), lambda c: F.trim(c))
-        return F.regexp_replace(F.array_join(cells, "  "), MARKS, "")
+    """Reading text of Markdown, line by line: comments go, and with them rules of
+    tables; heading and quote marks at the start, emphasis and code marks go; a
+    line with bars becomes its cells two spaces apart."""
 
     def line(x: Column) -> Column:
-        plain = F.regexp_replace(x, r"^\s*#{1,6}\s+", "")
-        plain = F.regexp_replace(plain, r"^\s*>\s?", "")
-        return F.regexp_replace(plain, MARKS, "")
-
-    lines = F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"^\s*<!--.*-->\s*$") & ~x.rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|[\s:|-]*$"))
-    done = F.transform(lines, lambda x: F.when(x.rlike(r"^\s*\|.*\|\s*$"), row(x)).otherwise(line(x)))
+        plain = F.regexp_replace(x, r"(?U)^#{1,6}\s+", "")
+        plain = F.regexp_replace(plain, r"^> ", "")
+        cells = F.filter(F.transform(F.split(plain, r"\|"), lambda c: F.trim(c)), lambda c: (c != "") & ~c.rlike(r"^[-:]+$"))
+        row = F.when(F.size(cells) > 0, F.array_join(cells, "  "))
+        plain = F.when(plain.contains("|"), row).otherwise(plain)
+        for mark in (r"\*{1,2}([^*]+)\*{1,2}", r"_{1,2}([^_]+)_{1,2}", r"`([^`]+)`"):
+            plain = F.regexp_replace(plain, mark, "$1")
+        return plain
+
+    lines = F.filter(F.split(t, "\n"), lambda x: ~F.trim(x).startswith("<!--"))
+    done = F.filter(F.transform(lines, line), lambda x: x.isNotNull())
     return squeeze_lines(F.array_join(done, "\n"))
 
 
@@ -135,7 +136,6 @@ def value_type(t: Column) -> Column:
     )
 
 
-MARKS = r"\*\*|__|[*`]"
 LIST_MARKER = r"^\s*([•◦▪‣*-]|\d{1,3}[.)]|[A-Za-z][.)]|[ivxlcdmIVXLCDM]{1,6}[.)])\s+(\S.*)$"
 
 
@@ -196,21 +196,6 @@ def orientation_plausible(t: Column, width: Column, height: Column, rotation: Co
     return (F.length(F.trim(t)) <= 1) | fits
 
 
-def escape_markdown(t: Column, heading: bool = False) -> Column:
-    out = F.regexp_replace(t, r"([\\`*_\[\]<>])", r"\\$1")
-    return out if heading else F.regexp_replace(out, r"(?m)^(\s*)([#>+-]|\d+[.)])(\s)", r"$1\\$2$3")
-
-
-def escape_cell(t: Column) -> Column:
-    return F.regexp_replace(F.replace(t, F.lit("|"), F.lit("\\|")), r"\s*\n\s*", "<br>")
-
-
-def escape_html(t: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
-
-
 def language_alias(t: Column) -> Column:
     """Canonical language codes of the names recognisers use."""
     table = {"pt": ("pt", "por", "pt-br", "pt_br", "portuguese", "latin"), "en": ("en", "eng", "english"), "es": ("es", "spa", "spanish"), "fr": ("fr", "fra", "french"), "de": ("de", "deu", "german")}

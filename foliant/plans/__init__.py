@@ -1,6 +1,6 @@
 """Whole queries over the given tables; importing this registers them all."""
 
-from . import critical, geometry, metrics, text
+from . import critical, geometry, metrics, report, sources, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "critical", "geometry", "metrics", "text"]
+__all__ = ["ORACLES", "QUERIES", "critical", "geometry", "metrics", "report", "sources", "streams", "text"]

@@ -124,36 +124,6 @@ def block_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("doc_id").agg(F.array_join(ordered, " ").alias("blocks"))
 
 
-@query("a07_block_counts", BLOCKS + " SELECT kind, count(*) AS blocks, count(DISTINCT doc_id) AS docs FROM b WHERE starts GROUP BY kind")
-def block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks(spark, sf_dir).where("starts").groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.countDistinct("doc_id").alias("docs"))
-
-
-@query(
-    "a10_duplicates_and_leakage",
-    """WITH p AS (SELECT doc_id, source, unnest(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 20)) AS para FROM documents),
-    k AS (SELECT source, doc_id, substr(para, 1, 100) AS key, row_number() OVER (PARTITION BY source, substr(para, 1, 100) ORDER BY doc_id) AS rn FROM p),
-    d AS (SELECT source, count(*) FILTER (WHERE rn > 1) / CAST(count(*) AS DOUBLE) AS duplicate_rate FROM k GROUP BY source),
-    f AS (SELECT source, substr(split_part(text, chr(10), 1), 1, 60) AS head FROM documents),
-    h AS (SELECT source, head, count(*) AS n, sum(count(*)) OVER (PARTITION BY source) AS pages FROM f GROUP BY source, head),
-    l AS (SELECT source, CAST(sum(CASE WHEN n >= 2 AND n >= 0.02 * pages THEN n ELSE 0 END) AS DOUBLE) / any_value(pages) AS leakage FROM h WHERE pages >= 3 GROUP BY source)
-    SELECT source, duplicate_rate, leakage FROM d JOIN l USING (source)""",
-)
-def duplicates_and_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated paragraphs (keys of 100 characters), and first lines that recur in a run.
-
-    Counts per key replace a ranking of all paragraphs: n - 1 of n are repeats."""
-    d = docs(spark, sf_dir)
-    para = d.select("source", F.explode(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) >= 20)).alias("p"))
-    keys = para.groupBy("source", F.substring("p", 1, 100).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    dup = keys.groupBy("source").agg((F.sum(F.col("n") - 1) / F.sum("n")).alias("duplicate_rate"))
-    heads = d.groupBy("source", F.substring(F.split("text", "\n")[0], 1, 60).alias("head")).agg(F.count(F.lit(1)).alias("n"))
-    pages = F.sum("n").over(W.partitionBy("source"))
-    leak = heads.withColumn("pages", pages).where("pages >= 3").groupBy("source").agg(
-        (F.sum(F.when((F.col("n") >= 2) & (F.col("n") >= 0.02 * F.col("pages")), F.col("n")).otherwise(0)) / F.max("pages")).alias("leakage"))
-    return dup.join(leak, "source")
-
-
 @query(
     "a11_mean_median_worst",
     """WITH s AS (SELECT lang, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars) AS rn, count(*) OVER (PARTITION BY lang) AS n FROM documents)

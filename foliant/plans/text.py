@@ -43,22 +43,6 @@ def f03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(T.squeeze_lines(T.nfc(F.col("text")))).alias("digest"))
 
 
-@query(
-    "f04_f05_strip_markdown",
-    r"""WITH l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) > 0) AS ls FROM documents)
-    SELECT doc_id, md5(array_to_string(list_transform(ls, lambda x: trim(regexp_replace(regexp_replace(
-      CASE WHEN length(x) % 3 = 1 THEN replace(x, '|', '') ELSE x END, '\*\*|__|[*`]', '', 'g'), '\s+', ' ', 'g'))), chr(10))) AS digest
-    FROM l WHERE NOT list_bool_or(list_transform(ls, lambda x: regexp_matches(x, '^\s*(#|>|\|)|-'))) AND len(ls) > 0""",
-)
-def f05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line is dressed up by its length: a heading, a table row or bold."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    d = docs(spark, sf_dir).select("doc_id", lines.alias("ls")).where((F.size("ls") > 0) & ~F.exists("ls", lambda x: x.rlike(r"^\s*(#|>|\|)|-")))
-    dress = lambda x: F.when(F.length(x) % 3 == 0, F.concat(F.lit("## "), x)).when(F.length(x) % 3 == 1, F.concat(F.lit("| "), F.replace(x, F.lit("|"), F.lit("")), F.lit(" |"))).otherwise(F.concat(F.lit("> **"), x, F.lit("**")))
-    page = F.concat(F.lit("## Página 3 | x\n"), F.array_join(F.transform("ls", dress), "\n"))
-    return d.select("doc_id", F.md5(T.strip_markdown(T.strip_page_heading(page))).alias("digest"))
-
-
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[-''][\p{L}\p{N}_]+)*')"
 
 
@@ -196,17 +180,6 @@ def f31(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).groupBy(T.language_alias(name).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    "f32_escape",
-    r"""SELECT doc_id, md5(regexp_replace(text, '([\\`*_\[\]<>])', '\\\1', 'g')) AS inline_digest,
-      md5(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;')) AS html_digest,
-      md5(regexp_replace(replace(text, '|', '\|'), '\s*\n\s*', '<br>', 'g')) AS cell_digest FROM documents""",
-)
-def f32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return docs(spark, sf_dir).select("doc_id", F.md5(T.escape_markdown(t, heading=True)).alias("inline_digest"), F.md5(T.escape_html(t)).alias("html_digest"), F.md5(T.escape_cell(t)).alias("cell_digest"))
-
-
 def whole_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reference and a garbled reading of each whole document, in ASCII."""
     plain = F.regexp_replace("text", r"[^ -~]", "")

@@ -1 +1,5 @@
-"""See the package docstring."""
+"""Streams of pages and of audit events."""
+
+from . import events, pages
+
+__all__ = ["events", "pages"]

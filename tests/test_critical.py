@@ -29,8 +29,9 @@ def test_format_scores(spark):
 
 def test_labels(spark):
     cases = [(["Nome", "VENCIMENTO:"], "date"), (["CPF/CNPJ :"], "cpf"), (["Emissão"], "date"), (["R$"], "currency"), (["Processo nº"], "process_number"), (["Processos"], None), (["Alíquota ."], "percentage"), ([], None)]
-    df = spark.createDataFrame(cases, "labels array<string>, want string").select("want", F.posexplode_outer("labels").alias("i", "l"), F.monotonically_increasing_id().alias("k"))
-    df = df.withColumn("l", C.normalize_label("l")).groupBy("k", "want").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "l"))), lambda x: x.l).alias("ls"))
+    rows = [(i, want, j, label) for i, (labels, want) in enumerate(cases) for j, label in enumerate(labels or [None])]
+    df = spark.createDataFrame(rows, "k int, want string, i int, l string").withColumn("l", C.normalize_label("l"))
+    df = df.groupBy("k", "want").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "l"))), lambda x: x.l).alias("ls"))
     assert all(r.want == r.got for r in df.select("want", C.context_type(F.col("ls")).alias("got")).collect())
 
 
