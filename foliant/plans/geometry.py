@@ -318,20 +318,6 @@ def inside_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boxes(spark, sf_dir).groupBy("pg").agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
 
 
-@query(
-    "a22_duplicate_boxes",
-    f"""WITH {BOXES} SELECT pg, count(DISTINCT bid) AS duplicates FROM (
-      SELECT r.pg, r.bid FROM b l JOIN b r ON l.pg = r.pg AND l.bid < r.bid AND l.kind = r.kind
-      WHERE ({SHARED}) > 0 AND ({SHARED}) / (({AREA.format('l')}) + ({AREA.format('r')}) - ({SHARED})) >= 0.3) GROUP BY pg""",
-)
-def duplicate_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes nearly equal to an earlier one of the same kind."""
-    b = boxes(spark, sf_dir)
-    on = (F.col("l_bid") < F.col("r_bid")) & (F.col("l_kind") == F.col("r_kind")) & (G.iou(G.box("l_"), G.box("r_")) >= 0.3)
-    pairs = S.spatial_join(S.prefixed(b, "l_"), S.prefixed(b, "r_"), ["pg"], on)
-    return pairs.select(F.col("r_pg").alias("pg"), "r_bid").distinct().groupBy("pg").agg(F.count(F.lit(1)).alias("duplicates"))
-
-
 @query(
     "j09_owned_lines",
     f"""WITH {BOXES}, t AS (SELECT l.pg, l.status, l.bid, EXISTS (SELECT 1 FROM b r WHERE r.pg = l.pg AND r.kind <> 'N'
@@ -431,21 +417,3 @@ def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     priority = F.when(F.col("kind") == "R", 300).when(F.col("kind") == "A", 200).otherwise(50)
     w = W.partitionBy("doc", "x0").orderBy(priority.desc(), "pg", "bid")
     return boxes(spark, sf_dir).withColumn("doc", F.expr("pg div 8")).select("doc", F.col("x0").alias("line"), "pg", "bid", (F.row_number().over(w) == 1).alias("wins"))
-
-
-@query(
-    "p07_p08_page_signals",
-    f"""WITH {BOXES}, m AS (SELECT pg, count(*) FILTER (WHERE x1 - x0 >= 30 AND y1 - y0 <= 12) AS h, count(*) FILTER (WHERE x1 - x0 <= 6 AND y1 - y0 >= 13) AS v,
-        max(x1) FILTER (WHERE x1 <= 280) AS left_end, min(x0) FILTER (WHERE x0 >= 280) AS right_start,
-        count(*) FILTER (WHERE x1 <= 280) AS nl, count(*) FILTER (WHERE x0 >= 280) AS nr, count(*) AS n FROM b GROUP BY pg)
-    SELECT pg, CASE WHEN h >= 2 AND v >= 2 THEN h + v ELSE 0 END AS grid_lines,
-        coalesce(n >= 4 AND nl >= 0.2 * n AND nr >= 0.2 * n AND right_start - left_end > 0.06 * 560, FALSE) AS two_columns FROM m""",
-)
-def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = G.box()
-    m = boxes(spark, sf_dir).groupBy("pg").agg(
-        F.count_if((G.width(b) >= 30) & (G.height(b) <= 12)).alias("h"), F.count_if((G.width(b) <= 6) & (G.height(b) >= 13)).alias("v"),
-        F.max(F.when(b.x1 <= 280, b.x1)).alias("le"), F.min(F.when(b.x0 >= 280, b.x0)).alias("rs"),
-        F.count_if(b.x1 <= 280).alias("nl"), F.count_if(b.x0 >= 280).alias("nr"), F.count(F.lit(1)).alias("n"))
-    two = (F.col("n") >= 4) & (F.col("nl") >= 0.2 * F.col("n")) & (F.col("nr") >= 0.2 * F.col("n")) & (F.col("rs") - F.col("le") > 0.06 * 560)
-    return m.select("pg", F.when((F.col("h") >= 2) & (F.col("v") >= 2), F.col("h") + F.col("v")).otherwise(0).alias("grid_lines"), F.coalesce(two, F.lit(False)).alias("two_columns"))

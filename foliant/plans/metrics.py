@@ -353,13 +353,3 @@ def page_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = {"selected": a.intersect(h), "missing": a.subtract(h), "extra": h.subtract(a)}
     parts = [d.withColumn("kind", F.lit(k)) for k, d in sets.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("page").alias("first"))
-
-
-@query(
-    "p19_statuses",
-    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 50000 THEN 'failed' WHEN o_totalprice < 1000 THEN 'empty' WHEN o_orderstatus = 'P' THEN 'degraded' ELSE 'ok' END AS status FROM orders""",
-)
-def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that matches decides."""
-    s = F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 50000), "failed").when(F.col("o_totalprice") < 1000, "empty").when(F.col("o_orderstatus") == "P", "degraded").otherwise("ok")
-    return table(spark, sf_dir, "orders").select("o_orderkey", s.alias("status"))
