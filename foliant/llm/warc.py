@@ -16,12 +16,14 @@ row per capture.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch
@@ -29,7 +31,8 @@ from .common import materialise, scratch
 END = "\r\n"
 #: Payloads below this many bytes are never revisits.
 LEAST = 100
-FILE_BYTES = 8 << 20
+#: Bytes of records in an archive: large tables get the larger ones.
+FILE_BYTES, LARGE_FILE_BYTES = 8 << 20, 64 << 20
 
 RECORD = (
     "record_id string, type string, capture string, target_uri string, date string, refers_to string, "
@@ -77,7 +80,7 @@ def write_archives(
     url: str = "url",
     payload: str = "html",
     date: str = "2024-01-01T00:00:00Z",
-    file_bytes: int = FILE_BYTES,
+    file_bytes: int | None = None,
 ) -> None:
     """Write three records per row of ``pages`` into gzip-compressed archives.
 
@@ -131,6 +134,8 @@ def write_archives(
     # files of bounded size, whatever one partition holds
     mean = rows.agg(F.avg("payload_bytes"), F.count(F.lit(1))).first()
     total = (mean[0] or 0) * (mean[1] or 0) + 900 * (mean[1] or 0)
+    if file_bytes is None:
+        file_bytes = LARGE_FILE_BYTES if total > 1000 * LARGE_FILE_BYTES else FILE_BYTES
     n = max(1, int(-(-total // file_bytes)))
     per_file = max(1, int(file_bytes / max(1.0, total / max(1, 3 * (mean[1] or 1)))))
     (
@@ -167,15 +172,11 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def unzip(data: bytes) -> bytes:
-    """All members of a gzip file; other bytes as they are."""
+    """All members of a gzip file, in one pass; other bytes as they are."""
     if data[:2] != b"\x1f\x8b":
         return data
-    out = []
-    while data:
-        d = zlib.decompressobj(31)
-        out.append(d.decompress(data) + d.flush())
-        data = d.unused_data
-    return b"".join(out)
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as f:
+        return f.read()
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
@@ -226,21 +227,21 @@ def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: capture, request, response, metadata.
 
     Of several records of one kind with equal ids (a page written twice) one
-    row each is kept, paired by place in the order of their ids; records that
-    name no capture stand alone under their own id; a missing record is a null
-    struct."""
+    row each is kept: they are numbered in the order of record id, digest, length
+    and address, and equal numbers meet. Records that name no capture stand alone
+    under their own id, those without any id each for themselves; a missing record
+    is a null struct."""
     parts = [c.split()[0] for c in RECORD.split(", ")]
     kind = F.when(F.col("type").isin("response", "revisit"), "response").otherwise(F.col("type"))
-    rows = records.withColumn("capture", F.coalesce("capture", "record_id")).withColumn("_kind", kind)
+    alone = F.concat(F.lit("no id "), F.monotonically_increasing_id().cast("string"))
+    rows = records.withColumns({"_group": F.coalesce("capture", "record_id", alone), "_kind": kind})
+    order = W.partitionBy("_group", "_kind").orderBy("record_id", "payload_digest", "payload_bytes", "target_uri")
+    # dealt by the capture once, for the numbers and for the groups
+    rows = rows.repartition("_group").withColumn("_i", F.row_number().over(order))
     whole = F.struct(*parts)
-    lists = rows.groupBy("capture").agg(
-        *[F.collect_list(F.when(F.col("_kind") == k, whole)).alias(k) for k in ("request", "response", "metadata")]
-    )
-    n = F.greatest(*[F.size(k) for k in ("request", "response", "metadata")])
-    spread = lists.select("*", F.explode(F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).alias("_i"))
-    return spread.select(
-        "capture", *[F.try_element_at(k, F.col("_i")).alias(k) for k in ("request", "response", "metadata")]
-    )
+    pick = [F.first(F.when(F.col("_kind") == k, whole), ignorenulls=True).alias(k) for k in ("request", "response", "metadata")]
+    met = rows.groupBy("_group", "_i").agg(F.first(F.coalesce("capture", "record_id"), ignorenulls=True).alias("capture"), *pick)
+    return met.where("request IS NOT NULL OR response IS NOT NULL OR metadata IS NOT NULL").select("capture", "request", "response", "metadata")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 
+from pyspark.sql import functions as F
+
 from foliant.llm.queries import ORACLES
 from foliant.llm.warc import assemble, op7_warc, parse, read_archives, unzip, write_archives
 
@@ -58,3 +60,16 @@ def test_empty(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     write_archives(pages, str(tmp_path / "w"))
     assert assemble(read_archives(spark, str(tmp_path / "w"))).count() == 0
+
+
+def test_repeated_ids_of_other_pages(spark, tmp_path):
+    """Records of one page id pair one to one, whatever order they are read in."""
+    pages = spark.createDataFrame([(1, "u", "x" * 150), (1, "v", "y" * 120), (None, "w", "z")], "page_id long, url string, html string")
+    path = str(tmp_path / "w")
+    write_archives(pages, path)
+    records = read_archives(spark, path)
+    rows = assemble(records).collect()
+    assert len(rows) == 3 and all(r.request and r.response and r.metadata for r in rows)
+    assert sorted(r.response.payload_bytes for r in rows) == [1, 120, 150]
+    bare = records.withColumns({"record_id": F.lit(None).cast("string"), "capture": F.lit(None).cast("string")})
+    assert assemble(bare).count() == 9
