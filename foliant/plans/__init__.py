@@ -1,6 +1,6 @@
 """Whole queries over the given tables; importing this registers them all."""
 
-from . import critical, evidence, geometry, metrics, report, roles, sources, streams, text
+from . import critical, evidence, geometry, layout, metrics, report, roles, sources, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "critical", "evidence", "geometry", "metrics", "report", "roles", "sources", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "critical", "evidence", "geometry", "layout", "metrics", "report", "roles", "sources", "streams", "text"]

@@ -266,9 +266,17 @@ def document_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates no other candidate of the page materially dominates."""
     c = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 25).alias("page"), "vec_id", F.col("embedding")[0].cast("double").alias("q"), F.col("embedding")[1].cast("double").alias("c"))
-    b = S.prefixed(c, "b_")
-    dominated = (F.col("page") == F.col("b_page")) & (F.col("b_q") >= F.col("q") - 0.02) & (F.col("b_c") >= F.col("c") - 0.03) & ((F.col("b_q") > F.col("q") + 0.02) | (F.col("b_c") > F.col("c") + 0.03))
-    return c.join(b, dominated, "left_anti").select("page", "vec_id")
+    return frontier(c, "page", "q", "c", 0.02, 0.03).select("page", "vec_id")
+
+
+def frontier(df: DataFrame, page: str, q: str, c: str, dq: float, dc: float) -> DataFrame:
+    """Rows that no row of their page dominates: one that is better by over a tolerance
+    in one measure and not worse by more than the other's. Two sorted passes with a
+    running maximum per page, so rows are never paired."""
+    best = lambda of, by, d: F.expr(f"max(`{of}`) OVER (PARTITION BY `{page}` ORDER BY `{by}` DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CAST({d!r} AS DOUBLE) PRECEDING)")
+    seen = df.withColumns({"_c": best(c, q, dq), "_q": best(q, c, dc)})
+    free = F.coalesce(F.col("_c") < F.col(c) - dc, F.lit(True)) & F.coalesce(F.col("_q") < F.col(q) - dq, F.lit(True))
+    return seen.where(free).drop("_c", "_q")
 
 
 @query(
