@@ -118,13 +118,13 @@ def duplicate_line_ratio(t: Column) -> Column:
 
 
 def furniture_signature(t: Column) -> Column:
-    """What stays equal of a header or footer from page to page; null if under 3 characters."""
-    s = F.lower(t)
-    s = F.regexp_replace(s, r"p(?:á|a)g(?:ina|e|\.)?\s*\d+(?:\s*(?:de|of|/)\s*\d+)?", "#")
-    s = F.regexp_replace(s, r"\b\d+\s*(?:de|of|/)\s*\d+\b", "#")
-    s = F.regexp_replace(s, r"^\s*\d+\s*$", "#")
-    s = F.regexp_replace(s, r"\s+", " ")
-    s = F.trim(s, F.lit(" -·|"))
+    """What stays equal of a header or footer from page to page; null if under 3
+    characters. Only numbers that a page label names are taken out. ``t`` is case folded."""
+    label = r"(?U)\b(?:página|pagina|page)\s+\d+"
+    s = F.trim(t)
+    for rest in (r"\s+(?:de|of)\s+\d+\b", r"\s*/\s*\d+\b", r"\b"):
+        s = F.regexp_replace(s, label + rest, "<page-number>")
+    s = F.trim(F.regexp_replace(s, r"(?U)\s+", " "), F.lit(" -|·"))
     return F.when(F.length(s) >= 3, s)
 
 

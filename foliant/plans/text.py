@@ -68,12 +68,15 @@ def f09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "f10_signature",
-    r"""WITH s AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1) || ' Página ' || doc_id || ' de 90'),
-      'p(?:á|a)g(?:ina|e|\.)?\s*\d+(?:\s*(?:de|of|/)\s*\d+)?', '#', 'g'), '\b\d+\s*(?:de|of|/)\s*\d+\b', '#', 'g'), '\s+', ' ', 'g'), ' -·|') AS s FROM documents)
-    SELECT doc_id, CASE WHEN length(s) >= 3 THEN s END AS signature FROM s""",
+    r"""WITH s AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) || ' página ' || doc_id || CASE doc_id % 3 WHEN 0 THEN ' de 90' WHEN 1 THEN ' / 90' ELSE ' |' END AS t FROM documents),
+    r AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\b(?:página|pagina|page)\s+\d+\s+(?:de|of)\s+\d+\b', '<page-number>', 'g'), '\b(?:página|pagina|page)\s+\d+\s*/\s*\d+\b', '<page-number>', 'g'),
+      '\b(?:página|pagina|page)\s+\d+\b', '<page-number>', 'g'), '\s+', ' ', 'g'), ' -|·') AS s FROM s)
+    SELECT doc_id, CASE WHEN length(s) >= 3 THEN s END AS signature FROM r""",
 )
 def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.split("text", "\n")[0], F.lit(" Página "), F.col("doc_id").cast("string"), F.lit(" de 90"))
+    k = F.col("doc_id")
+    total = F.when(k % 3 == 0, " de 90").when(k % 3 == 1, " / 90").otherwise(" |")
+    t = F.concat(F.lower(F.split("text", "\n")[0]), F.lit(" página "), k.cast("string"), total)
     return docs(spark, sf_dir).select("doc_id", T.furniture_signature(t).alias("signature"))
 
 
