@@ -33,7 +33,7 @@ def furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "d19_suppressed_blocks",
-    f"""WITH {EDGE}, {FOUND}, bl AS (SELECT doc_id, bid // 3 AS block_id, role, role || ':' || signature AS key FROM l), h AS (SELECT b.doc_id, block_id, role, k.key IS NOT NULL AS hit FROM bl LEFT JOIN k USING (doc_id, key))
+    f"""WITH {EDGE}, {FOUND}, bl AS (SELECT doc_id, bid // 3 AS block_id, role, role || ':' || signature AS key FROM l), h AS (SELECT bl.doc_id, block_id, role, k.key IS NOT NULL AS hit FROM bl LEFT JOIN k USING (doc_id, key))
     SELECT doc_id, block_id, min(role) AS role FROM h GROUP BY doc_id, block_id HAVING bool_and(hit) AND count(DISTINCT role) = 1""",
 )
 def suppressed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
