@@ -92,8 +92,10 @@ def axis_overlap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
 
 
 def flip_y(left: Column, bottom: Column, right: Column, top: Column, page_height: Column, ox: Column, oy: Column) -> Box:
-    """Bottom-left coordinates to top-left ones, relative to the page's origin."""
-    return Box(left - ox, page_height - (top - oy), right - ox, page_height - (bottom - oy))
+    """Bottom-left coordinates to top-left ones, relative to the page's origin; edges
+    may come in either order."""
+    head = oy + page_height
+    return Box(F.least(left, right) - ox, head - F.greatest(bottom, top), F.greatest(left, right) - ox, head - F.least(bottom, top))
 
 
 def unflip_y(b: Box, page_height: Column) -> tuple[Column, Column, Column, Column]:

@@ -61,12 +61,16 @@ def group_box(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "g07_flip_coordinates",
-    f"WITH {BOXES} SELECT pg, bid, x0 - 5 AS x0, 800 - (y1 - 7) AS y0, x1 - 5 AS x1, 800 - (y0 - 7) AS y1, 800 - (800 - (y0 - 7)) AS bottom FROM b",
+    f"WITH {BOXES} SELECT pg, bid, x0 - 5 AS x0, 807 - y1 AS y0, x1 - 5 AS x1, 807 - y0 AS y1, 800 - (807 - y0) AS bottom FROM b",
 )
 def flip_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = G.box()
     h = F.lit(800.0)
-    t = G.flip_y(b.x0, b.y0, b.x1, b.y1, h, F.lit(5.0), F.lit(7.0))
+    # every other box comes with its edges swapped
+    turned = F.col("bid") % 2 == 0
+    swap = lambda a, c: (F.when(turned, c).otherwise(a), F.when(turned, a).otherwise(c))
+    (x0, x1), (y0, y1) = swap(b.x0, b.x1), swap(b.y0, b.y1)
+    t = G.flip_y(x0, y0, x1, y1, h, F.lit(5.0), F.lit(7.0))
     return boxes(spark, sf_dir).select("pg", "bid", *[c.alias(n) for c, n in zip(t, ("x0", "y0", "x1", "y1"), strict=True)], G.unflip_y(t, h)[1].alias("bottom"))
 
 

@@ -87,6 +87,33 @@ def keep_tokens(text: Column, confidence: Column, goal: Column, least: Column) -
     return sure & fits
 
 
+def renderable(rows: Column, columns: Column, texts: Column) -> Column:
+    """Whether a table shows anything: it has rows and columns and a text that is not blank."""
+    return (rows > 0) & (columns > 0) & F.coalesce(F.exists(texts, lambda t: F.trim(t) != ""), F.lit(False))
+
+
+def hides_decoration(role: Column) -> Column:
+    """A watermark is only hidden if it stands at an unusual angle and is faint or large.
+    ``role`` is decorative_watermark: and its reasons, or any other role."""
+    reasons = F.split(F.regexp_extract(role, r"^decorative_watermark:(.*)$", 1), ",")
+    faint = F.arrays_overlap(reasons, F.array(F.lit("low_opacity"), F.lit("large_font")))
+    return F.coalesce(F.array_contains(reasons, "unusual_angle") & faint, F.lit(False))
+
+
+@query(
+    "p18_shown_tables",
+    """WITH c AS (SELECT l_orderkey AS pg, max(l_linenumber) AS rows, bool_or(l_returnflag = 'R') AS shows, min(l_suppkey % 5) AS k FROM lineitem GROUP BY l_orderkey)
+    SELECT pg, shows AND k > 0 AS shown, k IN (2, 3) AS hidden FROM c""",
+)
+def shown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables with something to show, and watermarks that may be hidden."""
+    text = F.when(F.col("l_returnflag") == "R", "x").otherwise("  ")
+    c = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pg")).agg(F.max("l_linenumber").alias("rows"), F.collect_set(text).alias("texts"), F.min(F.col("l_suppkey") % 5).cast("int").alias("k"))
+    roles = [None, "decorative_watermark:unusual_angle", "decorative_watermark:unusual_angle,low_opacity", "decorative_watermark:large_font,unusual_angle", "stamp:unusual_angle,low_opacity"]
+    role = F.get(F.array(*[F.lit(r).cast("string") for r in roles]), F.col("k"))
+    return c.select("pg", renderable(F.col("rows"), F.col("k"), F.col("texts")).alias("shown"), hides_decoration(role).alias("hidden"))
+
+
 # What messages of exhausted resources say.
 EXHAUSTED = ["not enough memory", "out of memory", "memory allocation failed", "std::bad_alloc", "bad allocation", "error code is 12", "errno 12", "cuda out of memory"]
 
