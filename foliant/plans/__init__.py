@@ -1,6 +1,6 @@
 """Whole queries over the given tables; importing this registers them all."""
 
-from . import assembly, critical, evidence, geometry, layout, metrics, report, roles, sources, streams, text
+from . import assembly, critical, evidence, geometry, layout, metrics, report, roles, sources, streams, tables, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "assembly", "critical", "evidence", "geometry", "layout", "metrics", "report", "roles", "sources", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "assembly", "critical", "evidence", "geometry", "layout", "metrics", "report", "roles", "sources", "streams", "tables", "text"]
