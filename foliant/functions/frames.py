@@ -138,3 +138,8 @@ def half_turn(rotation: Column, text: Column, confidence: Column) -> Column:
     """Aggregate: 180 if three fifths of the usable tokens say so, else 0."""
     usable = (F.coalesce(text, F.lit("")) != "") & (confidence.isNull() | (confidence >= 0.5))
     return F.when(F.count_if(usable & (rotation == 180)) >= 0.6 * F.greatest(F.count_if(usable), F.lit(1)), 180).otherwise(0)
+
+
+def blank_raster(low: Column, high: Column) -> Column:
+    """A raster whose grey values span so little and so near white that it shows nothing; null extremes: not blank."""
+    return F.coalesce((low >= 250) & (high - low <= 3), F.lit(False))
