@@ -80,3 +80,16 @@ def test_no_labels_reject_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = apply_rules(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert got.where("kept = base_failed").count() == 0
+
+
+def test_certified_cutoffs_reject(spark):
+    """Where the labels certify a cutoff, documents beyond it go, and no stratum loses more good ones than alpha allows."""
+    rows = [(i, "good words in a row here are ten of them " + "#" * (12 * (i % 400 == 0)), ("en", "pt")[i % 2]) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = apply_rules(docs, docs.select("doc_id", F.lit(1).alias("quality")))
+    gone = {r.doc_id for r in got.where("NOT kept AND NOT base_failed").collect()}
+    by = {k: sum(i % 2 == k for i in gone) for k in (0, 1)}
+    assert all(v <= 0.01 * 4000 for v in by.values())
+    rare = spark.createDataFrame([(i, t if i % 4000 else t + "#" * 12, x) for i, t, x in ((i, "good words in a row here are ten of them ", "en") for i in range(8000))], "doc_id long, text string, lang string")
+    got = apply_rules(rare, rare.select("doc_id", F.lit(1).alias("quality")))
+    assert {r.doc_id for r in got.where("NOT kept AND NOT base_failed").collect()} == {0, 4000}

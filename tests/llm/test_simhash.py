@@ -147,3 +147,20 @@ def test_links_are_verified(spark):
         got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), tile=tile).collect()
         assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in sets}
     assert len({find(i) for i in sets}) > 12  # some of a template stay apart
+
+
+def test_recall_at_the_limit(spark):
+    """Pairs at a similarity of 0.80 to 0.83 are found, those just under 0.8 are not linked."""
+    rng = random.Random(11)
+    rows, near, apart = [], set(), set()
+    for pair in range(300):
+        shingles = (90, 93, 96, 100, 85)[pair % 5]  # two words replaced far apart: ten shingles differ on each side
+        words = [f"w{rng.randrange(10**9)}" for _ in range(shingles + 4)]
+        other = list(words)
+        for at in (20, 50):
+            other[at] = f"v{rng.randrange(10**9)}"
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(other))]
+        (near if (shingles - 10) / (shingles + 10) >= 0.8 else apart).add(pair)
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(near) == 240 and sum(got[2 * p + 1] == 2 * p for p in near) >= 0.98 * len(near)
+    assert all(got[2 * p + 1] == 2 * p + 1 for p in apart)
