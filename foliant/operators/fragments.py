@@ -92,19 +92,26 @@ def join_titles(rows: list[dict]) -> list[dict]:
     return kept
 
 
-def _by_page(df: DataFrame, keys: list[str], order: str, merge: Callable[[list[dict]], list[dict]], extra: str) -> DataFrame:
-    types = dict(df.dtypes)
-    head = ", ".join(f"{c} {types[c]}" for c in (*keys, order))
-    schema = f"{head}, x0 double, y0 double, x1 double, y1 double, members array<{types[order]}>, {extra}"
-    names = [*keys, order, *SIDES, "members", *[e.split()[0] for e in extra.split(", ")]]
+def by_page(df: DataFrame, keys: list[str], order: str, merge: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
+    """Rows a page's rows, in order, become; pages travel as arrays, many to a batch."""
+    rows = F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c not in (*keys, order)])))
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        rows = [{k: None if v is None or (isinstance(v, float) and v != v) else v for k, v in r.items()} for r in page.sort_values(order, kind="stable").to_dict("records")]
-        for r in rows:
-            r["members"] = [r[order]]
-        return pd.DataFrame([{n: r[n] for n in names} for r in merge(rows)], columns=names)
+    @pandas_udf(f"array<struct<{schema}>>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: merge([dict(r) for r in page]))
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return df.groupBy(*keys).agg(rows.alias("_p")).select(*keys, F.inline(run("_p")))
+
+
+def _merged(df: DataFrame, keys: list[str], order: str, merge: Callable[[list[dict]], list[dict]], extra: dict[str, str]) -> DataFrame:
+    kind = dict(df.dtypes)[order]
+    names = [order, *SIDES, "members", *extra]
+    schema = f"{order}: {kind}, x0: double, y0: double, x1: double, y1: double, members: array<{kind}>, " + ", ".join(f"{k}: {v}" for k, v in extra.items())
+
+    def run(rows: list[dict]) -> list[dict]:
+        return [{n: r[n] for n in names} for r in merge([r | {"members": [r[order]]} for r in rows])]
+
+    return by_page(df, keys, order, run, schema)
 
 
 def coalesce_nested(regions: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -112,7 +119,7 @@ def coalesce_nested(regions: DataFrame, keys: list[str], order: str) -> DataFram
 
     Needs kind, role, edge_role, confidence and a box without nulls; a null role equals
     a null one. Ties of the order keep no stated order."""
-    return _by_page(regions.select(*keys, order, *SIDES, "kind", "role", "edge_role", "confidence"), keys, order, host_regions, "kind string, confidence double")
+    return _merged(regions.select(*keys, order, *SIDES, "kind", "role", "edge_role", "confidence"), keys, order, host_regions, {"kind": "string", "confidence": "double"})
 
 
 def merge_titles(regions: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -121,9 +128,9 @@ def merge_titles(regions: DataFrame, keys: list[str], order: str) -> DataFrame:
     Needs kind, text, a box, and arrays sizes, fonts and weights of its glyphs (null: none)."""
     some = lambda c, kind: F.filter(F.coalesce(F.col(c), F.array().cast(f"array<{kind}>")), lambda v: v.isNotNull()).alias(c)
     shaped = regions.select(*keys, order, *SIDES, "kind", "text", some("sizes", "double"), some("fonts", "string"), some("weights", "double"))
-    # arrays come to pandas as numpy arrays
+    # arrays may come as numpy arrays
     listed = lambda rows: join_titles([r | {c: list(r[c]) for c in ("sizes", "fonts", "weights")} for r in rows])
-    return _by_page(shaped, keys, order, listed, "kind string, text string")
+    return _merged(shaped, keys, order, listed, {"kind": "string", "text": "string"})
 
 
 def _spaced(parts: list[dict], wide: float | None = None) -> str:

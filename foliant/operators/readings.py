@@ -10,6 +10,7 @@ import math
 import re
 import unicodedata
 from difflib import SequenceMatcher
+from itertools import accumulate
 from statistics import median
 
 import pandas as pd
@@ -18,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .fragments import by_page
 from .layout import Box, shared
 from .spatial import prefixed, spatial_join
 
@@ -161,15 +163,13 @@ def paragraph_starts(lines: list[tuple[float, float, float, float, str]]) -> lis
 
 def paragraphs(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Lines of a page with the number of their paragraph, from 1. Null texts are empty."""
-    types = dict(lines.dtypes)
-    schema = ", ".join(f"{c} {types[c]}" for c in (*keys, order)) + ", paragraph long"
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(order, kind="stable")
-        starts = paragraph_starts(list(zip(page.x0, page.y0, page.x1, page.y1, page.text, strict=True)))
-        return page[[*keys, order]].assign(paragraph=pd.Series(starts, index=page.index).cumsum().astype("int64"))
+    def run(page: list[dict]) -> list[dict]:
+        starts = paragraph_starts([(r["x0"], r["y0"], r["x1"], r["y1"], r["text"]) for r in page])
+        return [{order: r[order], "paragraph": n} for r, n in zip(page, accumulate(map(int, starts)), strict=True)]
 
-    return lines.select(*keys, order, "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text")).groupBy(*keys).applyInPandas(run, schema)
+    shaped = lines.select(*keys, order, "x0", "y0", "x1", "y1", F.coalesce("text", F.lit("")).alias("text"))
+    return by_page(shaped, keys, order, run, f"{order}: {dict(lines.dtypes)[order]}, paragraph: long")
 
 
 def turns(tokens: DataFrame, keys: list[str], incoherent: Column) -> DataFrame:

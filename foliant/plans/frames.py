@@ -96,7 +96,7 @@ def said(n: Column) -> Column:
     g AS (SELECT pg, bid, t, x0, y1 - y0 AS h, lag(t) OVER o AS pt, lag(x1) OVER o AS px1, lag(y1 - y0) OVER o AS ph FROM a WINDOW o AS (PARTITION BY pg ORDER BY x0, bid)),
     c AS (SELECT *, pt LIKE '% %' OR t LIKE '% %' AS sp FROM g WHERE pt IS NOT NULL)
     SELECT pg, bid, CASE WHEN x0 >= px1 THEN t = '' OR pt = '' OR NOT (regexp_matches(t, '^[,.:;!?%)\\]}}]') OR regexp_matches(pt, '[(\\[{{]$') OR (upper(pt) = 'R$' AND regexp_matches(t, '^[0-9]')))
-      ELSE t <> '' AND pt <> '' AND regexp_matches(pt, '[a-z0-9]$') AND regexp_matches(t, '^[a-z0-9]') AND px1 - x0 <= greatest(h, ph, 1) * CASE WHEN sp THEN 0.75 ELSE 0.45 END AND (sp OR length(pt) <= 2 OR length(t) <= 2) END AS space FROM c""",
+      ELSE t <> '' AND pt <> '' AND regexp_matches(pt, '[A-Za-z0-9]$') AND regexp_matches(t, '^[A-Za-z0-9]') AND px1 - x0 <= greatest(h, ph, 1) * CASE WHEN sp THEN 0.75 ELSE 0.45 END AND (sp OR length(pt) <= 2 OR length(t) <= 2) END AS space FROM c""",
 )
 def spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = W.partitionBy("pg").orderBy("x0", "bid")

@@ -91,8 +91,8 @@ def local_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.local_fusion(regions, natives, tokens, ["pg"])
 
 
-@query("a39_candidate_records", f"SELECT pg, q.tokens, weighted, quartile, sufficient, score, chars, area_coverage, duplicate_ratio FROM ({ORACLES['p16_p24_quality_gate']}) q JOIN ({ORACLES['a20_coverage']}) c USING (pg)")
+@query("a39_candidate_records", f"SELECT pg, q.tokens, round(weighted, 4) AS weighted, quartile, sufficient, round(score, 4) AS score, chars, area_coverage, duplicate_ratio FROM ({ORACLES['p16_p24_quality_gate']}) q JOIN ({ORACLES['a20_coverage']}) c USING (pg)")
 def candidate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and coverage of a reading in one record."""
-    q = quality_gate(spark, sf_dir).select("pg", "tokens", "weighted", "quartile", "sufficient", "score")
+    q = quality_gate(spark, sf_dir).select("pg", "tokens", F.round("weighted", 4).alias("weighted"), "quartile", "sufficient", F.round("score", 4).alias("score"))
     return q.join(coverage(spark, sf_dir).drop("tokens"), "pg")
