@@ -156,9 +156,10 @@ def assess(tokens: DataFrame, keys: list[str], thresholds: dict[str, float] = C.
     n = F.length(t)
     m = tokens.withColumns({"_c": c, "_w": F.greatest(F.lit(1), count(r"[\p{L}\p{N}]")), "_s": T.suspicious(t, G.area(b), F.col("confidence")), "_o": T.orientation_plausible(t, G.width(b), G.height(b), F.col("rotation"))})
     share = lambda x: F.avg(x.cast("double"))
-    # a sum of doubles depends on the order of rows in its last digits
+    # a sum of doubles depends on the order of rows in its last digits, one of whole 2^-62 does not
+    units = F.floor(F.col("_c") * 2.0**62).cast("decimal(20,0)")
     m = m.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("tokens"), F.sum(n).alias("chars"), F.round(F.sum(F.col("_c") * F.col("_w")) / F.sum("_w"), 10).alias("weighted"), F.percentile("_c", 0.25).alias("quartile"), F.median("_c").alias("median"),
+        F.count(F.lit(1)).alias("tokens"), F.sum(n).alias("chars"), ((F.sum(units * F.col("_w")) / F.sum("_w")).cast("double") / 2.0**62).alias("weighted"), F.percentile("_c", 0.25).alias("quartile"), F.median("_c").alias("median"),
         (F.sum(F.when(F.col("_c") < thresholds["low"], F.col("_w")).otherwise(0)) / F.sum("_w")).alias("low_ratio"), share(F.col("_s")).alias("suspicious"), share(F.col("_o")).alias("oriented"),
         (1 - F.sum(count(r"[\p{C}\p{Z}&&[^ ]]")) / F.greatest(F.sum(n), F.lit(1))).alias("printable"), (F.sum(count(r"\p{C}")) / F.greatest(F.sum(n), F.lit(1))).alias("control"))
     p = {k: F.col(k) for k in ("tokens", "weighted", "quartile", "low_ratio", "suspicious", "oriented", "printable", "control")} | {"yield": F.lit(1.0), "incoherent": F.lit(False)}

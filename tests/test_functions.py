@@ -114,3 +114,35 @@ def test_queries_read_whole_texts(spark, tmp_path):
     assert (q["e02_word_operations"].substitutions, q["e02_word_operations"].distance, q["e03_common_subsequence"].lcs) == (1, 1, 401)
     assert q["e04_pairwise_similarity"].recall == round(401 / 402, 6)
     assert q["quality_by_language"].cer == 2 / (len(long) + 8) and q["quality_by_language"].wer == 1 / 402
+
+
+def test_weighted_confidence_is_exact(spark):
+    """No rounding between the tokens and the mean: neither the verdict at a
+    threshold nor the sixth digit may move, in whatever order the tokens come."""
+    from fractions import Fraction
+
+    from foliant.plans.evidence import assess
+
+    rng = random.Random(3)
+    groups = {"strong": [0.89999999996] * 3, "severe": [0.69999999996] * 3, "digit": [0.70311249996] * 3, "even": [0.7] * 7, "none": [None, 0.5]}
+    groups |= {f"r{i}": [rng.random() for _ in range(200)] for i in range(5)}
+    rows = [(g, "ab" * rng.randrange(1, 9), c, 0, 0.0, 0.0, 99.0, 5.0) for g, cs in groups.items() for c in cs]
+    got = []
+    for n in (1, 3):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "g string, text string, confidence double, rotation int, x0 double, y0 double, x1 double, y1 double").repartition(n)
+        got.append({r.g: r for r in assess(df, ["g"]).withColumn("six", F.round("weighted", 6)).collect()})
+    assert got[0] == got[1]
+    for g in groups:
+        tokens = [(Fraction(r[2] or 0.0), len(r[1])) for r in rows if r[0] == g]
+        assert got[0][g].weighted == float(sum(c * w for c, w in tokens) / sum(w for _, w in tokens))
+    assert not got[0]["strong"].sufficient and "low_weighted_confidence" in got[0]["severe"].reasons
+    assert got[0]["digit"].six == 0.703112 and "low_weighted_confidence" not in got[0]["even"].reasons
+
+
+def test_quality_gate_on_an_edge(spark):
+    """The mean of page 282 lies a rounding error below the edge of the sixth digit."""
+    from foliant import plans
+
+    r = plans.QUERIES["p16_p24_quality_gate"](spark, "/root/testdata/sf0.01").where("pg = 282").first()
+    assert (r.weighted, r.score) == (0.703112, 0.660988)
