@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from difflib import SequenceMatcher
 
 from foliant.functions import distance as D
 from foliant.functions import report as R
@@ -49,3 +50,20 @@ def test_page_counters_use_whole_texts():
     assert (c["word_edits"], c["substitutions"], c["deletions"], c["insertions"]) == (2, 1, 1, 0)
     blocks = "\n\n".join(f"p{i}" for i in range(1500))
     assert R.structure(blocks + "\n\n# h", blocks)["markdown_ast_similarity"] == round(1500 / 1501, 4)
+
+
+def test_ratio_is_that_of_difflib():
+    rng = random.Random(9)
+    for _ in range(150):
+        letters = rng.choice(["abcdefgh \n", "abcdefghijklmnopqrstuvwxyzABCDEF0123", "".join(map(chr, range(200, 320)))])
+        weights = [rng.random() ** 3 for _ in letters]
+        a = "".join(rng.choices(letters, weights, k=rng.choice([0, 30, 199, 200, 205, 600])))
+        b = garbled(rng, a, letters) if rng.random() < 0.8 else "".join(rng.choices(letters, weights, k=300))
+        assert D.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_ratio_of_long_texts_is_linear():
+    hyp, ref = long_pair()
+    began = time.perf_counter()
+    assert 0 < D.ratio(ref, hyp) < 1
+    assert time.perf_counter() - began < 5
