@@ -67,3 +67,40 @@ def test_ratio_of_long_texts_is_linear():
     began = time.perf_counter()
     assert 0 < D.ratio(ref, hyp) < 1
     assert time.perf_counter() - began < 5
+
+
+def test_union_area_makes_no_rows_of_slabs(spark):
+    """Against counted unit squares, and without a join or a row per slab and box."""
+    from foliant.operators import spatial as S
+
+    rng = random.Random(10)
+    boxes = [(p, *(float(v) for v in (x, y, x + rng.randrange(9), y + rng.randrange(9)))) for p in range(4) for x, y in [(rng.randrange(30), rng.randrange(30)) for _ in range(80)]]
+    want = {p: len({(x, y) for q, x0, y0, x1, y1 in boxes if q == p for x in range(int(x0), int(x1)) for y in range(int(y0), int(y1))}) for p in range(4)}
+    got = S.union_area(spark.createDataFrame(boxes, "pg int, x0 double, y0 double, x1 double, y1 double"), ["pg"])
+    assert {r.pg: r.union_area for r in got.collect()} == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+    import numpy as np
+
+    one = np.array([b[1:] for b in boxes if b[0] == 0 and b[3] > b[1] and b[4] > b[2]])
+    assert S.covered(one) == S.covered(one, block=100) == want[0]
+
+
+def test_texts_travel_in_small_batches(spark, sf):
+    from foliant.plans import base
+
+    base.table(spark, sf, "documents")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_repeats_of_a_page_by_all_pairs():
+    from foliant.operators.layout import Box, iou
+    from foliant.plans.evidence import repeats_of_page
+
+    rng = random.Random(11)
+    for _ in range(30):
+        bids, texts = [rng.randrange(40) for _ in range(50)], [rng.choice(["a", "A ", "b\t c", "b c"]) for _ in range(50)]
+        boxes = [Box(x, y, x + 4.0, y + 4.0) for x, y in ((rng.randrange(3) * 0.5, rng.randrange(3) * 0.5) for _ in range(50))]
+        key = [" ".join(t.casefold().split()) for t in texts]
+        want = {bids[i] for i in range(50) for j in range(50) if bids[i] < bids[j] and key[i] == key[j] and iou(boxes[i], boxes[j]) >= 0.7}
+        assert repeats_of_page(bids, texts, boxes) == len(want)
