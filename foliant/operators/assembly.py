@@ -98,7 +98,7 @@ def text_tracks(rows: DataFrame, cells: DataFrame, keys: list[str]) -> DataFrame
     words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
     c = cells.groupBy(*keys).agg(
         F.avg(F.when(F.col("col") > 0, F.col("text").rlike(r"\p{Nd}").cast("double"))).alias("numeric"), F.avg(((words >= 5) | (F.length("text") >= 48)).cast("double")).alias("_long"))
-    r = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.avg(F.rtrim("text").rlike(r"[.!?;]$").cast("double")).alias("_sentence"), F.avg(F.col("code").cast("double")).alias("code_score"))
+    r = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"), F.avg(F.rtrim("text").rlike(r"[.!?;]\z").cast("double")).alias("_sentence"), F.avg(F.col("code").cast("double")).alias("code_score"))
     j = r.join(shape, keys).join(c, keys)
     recurrence = F.col("_filled") / (F.col("row_count") * F.greatest("column_count", F.lit(1)))
     consistency = 1 - F.col("_off") / F.col("row_count")

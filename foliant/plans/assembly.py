@@ -103,7 +103,8 @@ def text_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ws = F.slice(F.filter(F.split("text", " "), lambda w: w != ""), 1, 4)
     cells = r.select("conv_id", "row", F.posexplode(ws).alias("col", "text"), F.lit(4).alias("columns"))
     t = A.text_tracks(r, cells, ["conv_id"])
-    six = lambda c: F.round(c, 6).alias(c)
+    # as SQL rounds doubles: the nearest whole of the product, not of the shortest decimal
+    six = lambda c: (F.floor(F.col(c) * 1e6 + 0.5) / 1e6).alias(c)
     return t.select("conv_id", "row_count", six("track_recurrence"), six("row_consistency"), six("prose_score"), "accepted", six("confidence"))
 
 

@@ -104,3 +104,38 @@ def test_repeats_of_a_page_by_all_pairs():
         key = [" ".join(t.casefold().split()) for t in texts]
         want = {bids[i] for i in range(50) for j in range(50) if bids[i] < bids[j] and key[i] == key[j] and iou(boxes[i], boxes[j]) >= 0.7}
         assert repeats_of_page(bids, texts, boxes) == len(want)
+
+
+def test_footnotes_at_the_edge_of_their_share(spark, tmp_path):
+    """750 * 0.68 is above 510 as a double; a line at 510 is in the lower part."""
+    import datetime
+
+    from foliant import plans
+
+    row = (600, 1, 510, 2, 10.0, 1.0, 0.01, 0.01, "N", "O", datetime.datetime(2000, 1, 1))
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    rows = [(*row[:1], k, *row[2:]) for k in range(1, 7)]
+    spark.createDataFrame(rows, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.bid: r.role for r in plans.QUERIES["p12_p13_line_roles"](spark, str(tmp_path)).collect()}
+    assert got[6006] == "footnote"  # Fonte
+
+
+def test_tracks_round_as_sql(spark, tmp_path):
+    """Texts of 3 or 4 words whose confidence lies on an edge of the sixth digit."""
+    import duckdb
+
+    from foliant import plans
+
+    rng = random.Random(12)
+    rows = []
+    for conv in range(1500):
+        bare, ends = rng.choice([0, 1, 2, 3]), rng.randrange(33)
+        for turn in range(32):
+            words = ["a", "b", "c", rng.choice("d1")][: 3 if turn < bare else 4]
+            rows.append((conv, turn, "user", " ".join(words) + ("." if turn < ends else "") + ("\n" if turn == 31 else "")))
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    df = plans.QUERIES["a28_text_tracks"](spark, str(tmp_path))
+    want = {r[0]: r for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES['a28_text_tracks']})").fetchall()}
+    assert {r[0]: tuple(r) for r in df.collect()} == want
