@@ -148,18 +148,19 @@ NOTE = r"(?U)^(?:(?:nota|fonte|\*|†|‡|\d+[.)])\b|observação|observacao)"
 def line_role(text: Column, folded: Column, b: G.Box, page: G.Box, typical: Column, size: Column, bold: Column, decorative: Column) -> Column:
     """footnote, decorative, caption, title, marginalia or null: the first that fits.
     ``text`` has single spaces; ``folded`` is its case-folded form."""
+    # shares of the page as hundredths: 750 * 0.68 lies above 510
     w, h = G.width(page), G.height(page)
     (cx, _), (px, _) = G.center(b), G.center(page)
     own, n = G.height(b), F.length(text)
-    footnote = (b.y0 >= page.y0 + h * 0.68) & (own <= typical * 1.30) & folded.rlike(NOTE)
-    caption = folded.rlike(CAPTION) & (b.y0 > page.y0 + h * 0.12) & (n <= 220)
+    footnote = (b.y0 >= page.y0 + h * 68 / 100) & (own <= typical * 1.30) & folded.rlike(NOTE)
+    caption = folded.rlike(CAPTION) & (b.y0 > page.y0 + h * 12 / 100) & (n <= 220)
     style = heading_style(size, bold, typical)
-    top, centred = b.y0 <= page.y0 + h * 0.18, F.abs(cx - px) <= w * 0.16
+    top, centred = b.y0 <= page.y0 + h * 18 / 100, F.abs(cx - px) <= w * 16 / 100
     tall = own >= F.greatest(F.lit(12.0), typical * F.when(top, 1.35).otherwise(1.55))
     sentence = text.rlike(r"[.;:]$") & (n > 45)
     title = text.rlike(r"[\p{L}\p{N}]") & (n <= 140) & (top | centred | (style >= 2)) & (tall | (style >= 2)) & ~sentence
-    edge = (b.x0 <= page.x0 + w * 0.06) | (b.x1 >= page.x1 - w * 0.06)
-    margin = (G.width(b) < w * 0.28) & edge & (own > F.greatest(F.lit(24.0), G.width(b) * 1.35)) & (F.length(F.trim(text)) <= 80)
+    edge = (b.x0 <= page.x0 + w * 6 / 100) | (b.x1 >= page.x1 - w * 6 / 100)
+    margin = (G.width(b) < w * 28 / 100) & edge & (own > F.greatest(F.lit(24.0), G.width(b) * 1.35)) & (F.length(F.trim(text)) <= 80)
     return (
         F.when(footnote, "footnote").when(F.size(decorative) >= 2, "decorative").when(caption, "caption").when(title, "title").when(margin, "marginalia")
     )
