@@ -139,3 +139,36 @@ def test_tracks_round_as_sql(spark, tmp_path):
     df = plans.QUERIES["a28_text_tracks"](spark, str(tmp_path))
     want = {r[0]: r for r in con.execute(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES['a28_text_tracks']})").fetchall()}
     assert {r[0]: tuple(r) for r in df.collect()} == want
+
+
+def test_precedences_are_those_of_pairs():
+    from foliant.operators import layout as L
+
+    rng = random.Random(13)
+    kinds = [*L.PRIORITY, "odd"]
+    for _ in range(12):
+        rs = [L.Region(f"r{i}", rng.choice(kinds), L.Box(x := rng.randrange(500) * 0.7, y := rng.randrange(700) * 0.7, x + rng.randrange(200) - 5.0, y + rng.randrange(40) - 1.0), rng.choice([None, rng.randrange(99)])) for i in range(25)]
+        c = rng.choice([None, 0.5])
+        p = L.precedences(rs, c)
+        assert all(p[i, j] == L.precedence(rs[i], rs[j], c) for i in range(25) for j in range(i + 1, 25))
+
+
+def test_near_boxes_are_those_that_share_an_area():
+    from foliant.operators.layout import Box, shared
+    from foliant.operators.readings import Near
+
+    rng = random.Random(14)
+    boxes = [Box(x := rng.randrange(50), y := rng.randrange(50), x + rng.randrange(-2, 15), y + rng.randrange(-2, 15)) for _ in range(60)]
+    near = Near(60)
+    for i, b in enumerate(boxes):
+        near.put(i, b)
+    assert all(near.of(b) == [i for i, a in enumerate(boxes) if shared(a, b) > 0] for b in boxes)
+
+
+def test_pages_are_not_gathered_in_one_task(spark, sf):
+    """Adaptive execution joins small partitions, however long their pages take."""
+    from foliant import plans
+
+    for name in ("j15_fused_candidates", "k18_order_is_permutation", "k03_k12_rows_and_rules", "j25_d27_repeats"):
+        plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
