@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 TOKENS = "doc_id long, page_index int, text string, x0 double, y0 double, x1 double, y1 double, confidence double, level string"
 REGIONS = "doc_id long, page_index int, kind string, x0 double, y0 double, x1 double, y1 double, confidence double"
 CELLS = "doc_id long, page_index int, table_id string, row int, col int, rowspan int, colspan int, text string"
+#: Pages a part is given at once: each may become thousands of rows.
+PAGES = 32
 KINDS = {"recogniser": TOKENS, "detector": REGIONS, "table_recogniser": CELLS}
 
 
@@ -44,8 +46,8 @@ class Plugin:
 
         def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                out = run(b)
-                yield out.reindex(columns=names)
+                for i in range(0, len(b), PAGES):
+                    yield run(b.iloc[i : i + PAGES]).reindex(columns=names)
 
         return pages.mapInPandas(each, schema).withColumn("provenance", self.provenance())
 
