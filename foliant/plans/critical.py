@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import critical as C
 from ..functions import distance as D
@@ -192,22 +196,47 @@ def f28(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recover_cells(cells, d.select("doc_id", "w"), "doc_id", "cell", "w").select("doc_id", "at", "cell", "recovered")
 
 
+WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def compact(t: str) -> str:
+    return WHITE.sub("", t.casefold())
+
+
+def runs_of_cells(words: list[str], cells: list[str]) -> list[tuple[str, str, int, int]]:
+    """cell, run, number of words and start of the first shortest run that is equal to a
+    cell once both are compact. Runs end where they have more marks than any cell."""
+    by: dict[str, list[str]] = {}
+    for c in cells:
+        if len(short := compact(c)) >= 2:
+            by.setdefault(short, []).append(c)
+    most, best = max(map(len, by), default=0), {}
+    forms = [(compact(w or ""), len((w or "").replace(" ", ""))) for w in words]
+    for start in range(len(words) if by else 0):
+        run, marks = "", 0
+        for n, (form, k) in enumerate(forms[start : start + F28_WORDS], 1):
+            run, marks = run + form, marks + k
+            if marks > most:
+                break
+            if run in by and (n, start) < best.get(run, (n + 1,)):
+                best[run] = n, start
+    return [(c, " ".join(w for w in words[at : at + n] if w is not None), n, at) for run, (n, at) in best.items() for c in by[run]]
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("cell", StringType()), StructField("run", StringType()), StructField("n", IntegerType()), StructField("at", IntegerType())])))
+def found_runs(words: pd.Series, cells: pd.Series) -> pd.Series:
+    return pd.Series([[dict(zip(("cell", "run", "n", "at"), r, strict=True)) for r in runs_of_cells(list(w), list(c))] for w, c in zip(words, cells, strict=True)], dtype=object)
+
+
 def recover_cells(cells: DataFrame, pages: DataFrame, key: str, cell: str, words: str) -> DataFrame:
-    """``cells`` with ``recovered``: see f28. Runs meet cells by the hash of their
-    compact form in one equi-join; of one length the first run on the page wins.
+    """``cells`` with ``recovered``: see f28. The cells of a page meet its words as
+    arrays, so no run is a row; of one length the first run on the page wins.
     Cells of under two characters and those without a match stay as they are."""
-    compact = lambda t: F.regexp_replace(T.casefold(t), r"(?U)\s+", "")
-    c = cells.withColumn("_compact", compact(F.col(cell)))
-    lengths = c.where("length(_compact) >= 2").groupBy(key).agg(F.max(F.length("_compact")).alias("_most"))
-    at = pages.join(lengths, key).select(key, "_most", F.posexplode(words).alias("_start", "_word"), F.col(words).alias("_ws"))
-    runs = at.select(key, "_start", "_most", F.slice("_ws", F.col("_start") + 1, F.lit(F28_WORDS)).alias("_run"))
-    runs = runs.select(key, "_start", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_run")), lambda i: F.array_join(F.slice("_run", 1, i), " "))).alias("_n", "_text"), "_most")
-    # a compact form is at least as long as the letters and marks it is made of
-    runs = runs.where(F.length(F.replace("_text", F.lit(" "), F.lit(""))) <= F.col("_most"))
-    runs = runs.withColumn("_compact", compact(F.col("_text")))
-    best = runs.join(c.where("length(_compact) >= 2").select(key, "_compact").distinct(), [key, "_compact"])
-    best = best.groupBy(key, "_compact").agg(F.min_by("_text", F.struct("_n", "_start")).alias("_found"))
-    return c.join(best, [key, "_compact"], "left").withColumn("recovered", F.coalesce("_found", F.col(cell))).drop("_found", "_compact")
+    wanted = cells.groupBy(key).agg(F.collect_set(cell).alias("_cells"))
+    found = pages.where(F.col(words).isNotNull()).join(wanted, key).select(key, F.inline(found_runs(F.col(words), F.col("_cells"))))
+    best = found.groupBy(key, F.col("cell").alias("_cell")).agg(F.min_by("run", F.struct("n", "at")).alias("_found")).withColumnRenamed(key, "_key")
+    met = cells.join(best, (F.col(key) == F.col("_key")) & (F.col(cell) == F.col("_cell")), "left")
+    return met.withColumn("recovered", F.coalesce("_found", F.col(cell))).drop("_found", "_key", "_cell")
 
 
 @query("f17_f19_token_predicates", None)

@@ -6,6 +6,8 @@ import random
 import time
 from difflib import SequenceMatcher
 
+from pyspark.sql import functions as F
+
 from foliant.functions import distance as D
 from foliant.functions import report as R
 
@@ -172,3 +174,40 @@ def test_pages_are_not_gathered_in_one_task(spark, sf):
     for name in ("j15_fused_candidates", "k18_order_is_permutation", "k03_k12_rows_and_rules", "j25_d27_repeats"):
         plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "REPARTITION_BY_NUM" in plan
+
+
+def test_cells_come_back_from_the_first_shortest_run():
+    from foliant.plans import critical as C
+
+    rng = random.Random(15)
+    for _ in range(60):
+        words = [rng.choice(["a", "B", "ab", "b a", "ß", "ss"]) for _ in range(rng.randrange(20))]
+        cells = [rng.choice(["a", "ab", "AB", "aba", "ssa", "baab", "zz"]) for _ in range(4)]
+        most = max((len(C.compact(c)) for c in cells if len(C.compact(c)) >= 2), default=0)
+        want = {}
+        for c in set(cells):
+            for n in range(12, 0, -1):
+                for at in range(len(words) - n, -1, -1):
+                    run = words[at : at + n]
+                    if len(C.compact(c)) >= 2 and C.compact(" ".join(run)) == C.compact(c) and sum(map(len, run)) <= most:
+                        want[c] = (" ".join(run), n, at)
+        assert {c: (r, n, at) for c, r, n, at in C.runs_of_cells(words, list(set(cells)))} == want
+
+
+def test_runs_and_characters_are_no_rows(spark, sf):
+    from foliant import plans
+
+    for name in ("f28_cell_recovery", "d02_reconstruct_lines"):
+        plan = plans.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan
+
+
+def test_parts_get_few_pages_at_once(spark):
+    import pandas as pd
+
+    from foliant import plugins
+
+    count = plugins.Plugin("count", "detector", lambda b: pd.DataFrame({"doc_id": b["doc_id"], "page_index": 0, "kind": str(len(b))}))
+    pages = spark.range(200).select(F.col("id").alias("doc_id")).coalesce(1)
+    got = count.apply(pages).collect()
+    assert sorted(r.doc_id for r in got) == list(range(200)) and max(int(r.kind) for r in got) <= plugins.PAGES
